@@ -11,9 +11,14 @@ from tableproof.llm import oracles
 from tableproof.llm.common import documents, pages
 from tableproof.llm.host_quality import judge
 from tableproof.llm.line_spread import remove_boilerplate
+from tableproof.llm.mixing import mix
 from tableproof.llm.url_filter import judge_urls
 
 
+def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op3_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages(spark, sf_dir)).select("page_id", "host", "path", "rule", "verdict")
 
@@ -28,6 +33,7 @@ def op8_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_entropy_mix": op1_entropy_mix,
     "op3_url_vocabulary": op3_url_vocabulary,
     "op6_host_rules": op6_host_rules,
     "op8_line_spread": op8_line_spread,
