@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableproof.llm.common import WS, let
+from tableproof.llm.common import WS, hold, let
 
 
 @dataclass(frozen=True)
@@ -55,14 +55,14 @@ def boilerplate(lines: DataFrame, limits: SpreadLimits = SpreadLimits()) -> Data
     spread = lines.groupBy("key").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(limits.lg_k))).alias("sites"), F.min("id").alias("first_id")).where(F.col("sites") >= low)
     sure = spread.where(F.col("sites") > high).select("key", "first_id")
     near = spread.where(F.col("sites") <= high).select("key", "first_id")
-    pairs = lines.select("key", "site").join(near, "key").groupBy("key", "site").agg(F.min("first_id").alias("first_id"))
+    pairs = lines.select("key", "site").distinct().join(near, "key")
     exact = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("sites"), F.min("first_id").alias("first_id")).where(F.col("sites") >= limits.min_sites)
     return sure.unionByName(exact.select("key", "first_id"))
 
 
 def remove_boilerplate(docs: DataFrame, limits: SpreadLimits = SpreadLimits(), *, id_column: str = "doc_id", text_column: str = "text", site_column: str = "source", drop_empty: bool = True) -> DataFrame:
     """docs with their columns; the text without boilerplate lines, and n_removed (lines) beside it as column "_n_removed"."""
-    lines = lines_of(docs, id_column, text_column, site_column)
+    lines = hold(lines_of(docs, id_column, text_column, site_column))  # three passes read it; the texts are split once
     common = boilerplate(lines, limits)
     gone = lines.join(common, "key").where(~F.col("id").eqNullSafe(F.col("first_id")))
     marked = gone.groupBy("id", "version").agg(F.collect_set("at").alias("places"))
