@@ -12,6 +12,8 @@ from tableproof.llm.common import documents, pages
 from tableproof.llm.host_quality import judge
 from tableproof.llm.line_spread import remove_boilerplate
 from tableproof.llm.mixing import mix
+from tableproof.llm.secrets import digest as secret_digest
+from tableproof.llm.secrets import scan
 from tableproof.llm.url_filter import judge_urls
 
 
@@ -32,11 +34,16 @@ def op8_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_boilerplate(documents(spark, sf_dir)).select("doc_id", "text", F.col("_n_removed").alias("n_removed"))
 
 
+def op9_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(scan(documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_entropy_mix": op1_entropy_mix,
     "op3_url_vocabulary": op3_url_vocabulary,
     "op6_host_rules": op6_host_rules,
     "op8_line_spread": op8_line_spread,
+    "op9_secret_battery": op9_secret_battery,
 }
 ORACLES: dict[str, str] = {
     "op3_url_vocabulary": oracles.url_vocabulary(),
