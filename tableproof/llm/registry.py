@@ -12,6 +12,7 @@ from tableproof.llm.common import documents, pages
 from tableproof.llm.host_quality import judge
 from tableproof.llm.line_spread import remove_boilerplate
 from tableproof.llm.mixing import mix
+from tableproof.llm.near_dedup import NearDupRules, near_duplicates
 from tableproof.llm.secrets import digest as secret_digest
 from tableproof.llm.secrets import scan
 from tableproof.llm.url_filter import judge_urls
@@ -38,12 +39,17 @@ def op9_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(scan(documents(spark, sf_dir)))
 
 
+def op10_min_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), NearDupRules(width=2))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_entropy_mix": op1_entropy_mix,
     "op3_url_vocabulary": op3_url_vocabulary,
     "op6_host_rules": op6_host_rules,
     "op8_line_spread": op8_line_spread,
     "op9_secret_battery": op9_secret_battery,
+    "op10_min_max": op10_min_max,
 }
 ORACLES: dict[str, str] = {
     "op3_url_vocabulary": oracles.url_vocabulary(),
