@@ -43,6 +43,11 @@ def hold(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows (they are counted); call it on held, narrow tables."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

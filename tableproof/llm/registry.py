@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tableproof.llm import oracles
 from tableproof.llm.common import documents, pages
+from tableproof.llm.crf_langid import held_out, identify
 from tableproof.llm.host_quality import judge
 from tableproof.llm.line_spread import remove_boilerplate
 from tableproof.llm.mixing import mix
@@ -26,6 +27,11 @@ def op3_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages(spark, sf_dir)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_chain_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identify(documents(spark, sf_dir))
+    return found.select(F.col("row.doc_id").alias("doc_id"), held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_verdict")
     return judge(documents(spark, sf_dir)).select(*columns)
@@ -46,6 +52,7 @@ def op10_min_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_entropy_mix": op1_entropy_mix,
     "op3_url_vocabulary": op3_url_vocabulary,
+    "op4_chain_field": op4_chain_field,
     "op6_host_rules": op6_host_rules,
     "op8_line_spread": op8_line_spread,
     "op9_secret_battery": op9_secret_battery,
