@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableproof.llm import oracles
-from tableproof.llm.common import documents, pages
+from tableproof.llm.common import benchmark, documents, pages
 from tableproof.llm.crf_langid import held_out, identify
+from tableproof.llm.decontaminate import judge as judge_leaks
 from tableproof.llm.host_quality import judge
 from tableproof.llm.line_spread import remove_boilerplate
 from tableproof.llm.mixing import mix
@@ -23,6 +24,10 @@ def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op2_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_leaks(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
 def op3_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages(spark, sf_dir)).select("page_id", "host", "path", "rule", "verdict")
 
@@ -51,6 +56,7 @@ def op10_min_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_entropy_mix": op1_entropy_mix,
+    "op2_templates": op2_templates,
     "op3_url_vocabulary": op3_url_vocabulary,
     "op4_chain_field": op4_chain_field,
     "op6_host_rules": op6_host_rules,
