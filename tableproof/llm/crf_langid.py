@@ -26,6 +26,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tableproof.llm.common import ship
+
+ship(__name__)
+
 UNKNOWN = "und"
 
 
@@ -285,14 +289,15 @@ def identify(docs: DataFrame, spec: LangIdSpec = LangIdSpec(), *, model: Field |
     """docs' rows as struct column row, with lang_pred, score, words (with letters) and label_shares beside it."""
     if model is None:
         model = fit(training_sample(docs, spec, id_column, text_column, lang_column, ~held_out(F.col(id_column))), spec)
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    labels = model.labels
+    plain = {k: v for k, v in vars(model).items() if k != "spec"}
+    held, labels, spec = docs.sparkSession.sparkContext.broadcast(plain), model.labels, model.spec
 
     @F.pandas_udf("lang string, score double, words long, shares array<double>")
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = Field(**held.value, spec=spec)
         for batch in batches:
             texts = pa.array(batch, pa.large_string(), from_pandas=True)
-            share, lettered = shares(texts, held.value) if labels else (np.zeros((len(texts), 0)), np.zeros(len(texts), np.int64))
+            share, lettered = shares(texts, model) if labels else (np.zeros((len(texts), 0)), np.zeros(len(texts), np.int64))
             known = lettered > 0
             best = share.argmax(axis=1) if labels else np.zeros(len(texts), np.int64)
             names = np.array([*labels, UNKNOWN], object)

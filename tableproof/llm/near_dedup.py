@@ -25,9 +25,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableproof.llm.common import hold
+from tableproof.llm.common import broadcast_if, hold, ship
 from tableproof.llm.components import components
 
+ship(__name__)
+
 
 @dataclass(frozen=True)
 class NearDupRules:
@@ -35,13 +37,16 @@ class NearDupRules:
     width: int = 5
     #: Two documents link if 100 * intersection >= percent * union.
     percent: int = 80
-    bands: int = 32
+    #: A pair of similarity 0.8 shares no band with probability (1 - 0.8 ** 6) ** 40, about 5 in a million.
+    bands: int = 40
     #: Permutations of a band; each gives two of its values.
-    permutations: int = 2
+    permutations: int = 3
     #: Rounds of further hubs before the rest is compared pair by pair, and how many pairs that may be at once
     #: before another round is worth it.
     hub_rounds: int = 6
     pairs_at_once: int = 2_000_000
+    #: Up to so many ids (8 bytes each) are broadcast to pick texts; more are joined by shuffle.
+    broadcast_ids: int = 500_000
 
     @property
     def rows(self) -> int:
@@ -98,20 +103,19 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
             yield np.unique(rolled[start : end - width + 1])
 
 
-def _permutations(rules: NearDupRules) -> tuple[np.ndarray, np.ndarray]:
-    n = rules.bands * rules.permutations
-    seeds = _scramble(np.arange(1, 2 * n + 1, dtype=np.uint64) * MIX)
-    return seeds[:n] | np.uint64(1), seeds[n:]
+def _factors(rules: NearDupRules) -> np.ndarray:
+    """Odd numbers: multiplying a hash by one, modulo 2 ** 64, permutes the hashes."""
+    return _scramble(np.arange(1, rules.bands * rules.permutations + 1, dtype=np.uint64) * MIX) | np.uint64(1)
 
 
-def band_keys(hashes: np.ndarray, rules: NearDupRules) -> np.ndarray:
+def band_keys(hashes: np.ndarray, factors: np.ndarray, rules: NearDupRules) -> np.ndarray:
     """One key a band: of the minima and maxima of the set under the band's permutations."""
-    factors, terms = _permutations(rules)
     low = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
     high = np.zeros(len(factors), np.uint64)
-    for at in range(0, len(hashes), 4096):  # a long text's table of values stays small
-        values = hashes[at : at + 4096, None] * factors + terms
-        low, high = np.minimum(low, values.min(axis=0)), np.maximum(high, values.max(axis=0))
+    for at in range(0, len(hashes), 256):  # small enough for the processor's cache
+        values = hashes[at : at + 256, None] * factors
+        np.minimum(low, values.min(axis=0), out=low)
+        np.maximum(high, values.max(axis=0), out=high)
     keys = np.arange(1, rules.bands + 1, dtype=np.uint64) * MIX
     for p in range(rules.permutations):
         keys = _scramble(keys + low[p :: rules.permutations])
@@ -123,6 +127,7 @@ def signatures(docs: DataFrame, rules: NearDupRules, id_column: str, text_column
     """doc_id, n (set size), f1, f2 (fingerprint of the set), keys (one a band) for every row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factors = _factors(rules)
         for batch in batches:
             n, f1, f2, keys = [], [], [], []
             for hashes in shingle_sets(batch.column("text"), rules.width):
@@ -130,7 +135,7 @@ def signatures(docs: DataFrame, rules: NearDupRules, id_column: str, text_column
                 both = np.array([hashes.sum(dtype=np.uint64), _scramble(hashes ^ MIX).sum(dtype=np.uint64)], np.uint64).view(np.int64)
                 f1.append(both[0])
                 f2.append(both[1])
-                keys.append(band_keys(hashes, rules) if len(hashes) else np.zeros(0, np.int64))
+                keys.append(band_keys(hashes, factors, rules) if len(hashes) else np.zeros(0, np.int64))
             lengths = np.cumsum([0, *(len(k) for k in keys)]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -210,8 +215,8 @@ def class_components(classes: DataFrame, docs: DataFrame, rules: NearDupRules, i
 def _verify(pairs: DataFrame, texts: DataFrame, rules: NearDupRules) -> DataFrame:
     """pairs compared; only texts that some pair needs are shuffled, one row an id."""
     pairs = hold(pairs)
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    wanted = hold(texts.join(needed, "id", "left_semi").dropDuplicates(["id"]))
+    needed = hold(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    wanted = hold(texts.join(broadcast_if(needed, rules.broadcast_ids), "id", "left_semi").dropDuplicates(["id"]))
     return similar_pairs(pairs, wanted, rules).select("a", "b", "linked")
 
 
@@ -233,4 +238,4 @@ def one_of_each(docs: DataFrame, rules: NearDupRules = NearDupRules(), *, id_col
     """The rows of docs with one document of each group: those that aren't its smallest id go."""
     judged = near_duplicates(docs, rules, id_column=id_column, text_column=text_column)
     gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias(id_column)).distinct()
-    return docs.join(gone, id_column, "left_anti")
+    return docs.join(broadcast_if(hold(gone), rules.broadcast_ids), id_column, "left_anti")

@@ -11,12 +11,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tableproof.llm.common import ship
+
+ship(__name__)
+
 #: The vocabulary. Strict terms reject alone.
 STRICT = ("porn", "xxx", "casino", "viagra", "cialis", "spam", "cheap-pills", "free-bets", "escort", "warez", "phishing", "adult-x", "sexcam", "jackpot")
 #: Soft terms, with the weight each distinct one adds.
@@ -67,11 +70,16 @@ def rule_of(host: Column, path: Column, rules: Sequence[UrlRule], of: str) -> Co
     return found
 
 
-@lru_cache(maxsize=8)
+_BUILT: dict = {}
+
+
 def _automaton(vocabulary: Vocabulary):
+    """The vocabulary's automaton, built once a process."""
     import ahocorasick
 
-    found = ahocorasick.Automaton()
+    if vocabulary in _BUILT:
+        return _BUILT[vocabulary]
+    found = _BUILT[vocabulary] = ahocorasick.Automaton()
     for term, weight in vocabulary.soft:
         found.add_word(term, (term, weight))
     for term in vocabulary.strict:
