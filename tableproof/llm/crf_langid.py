@@ -246,12 +246,11 @@ def shares(texts: pa.Array, model: Field, words_at_once: int = 200_000) -> tuple
     """Share of each label among each text's words with letters, and the number of those words."""
     codes, words, offsets = tokens(texts)
     k = len(model.labels)
-    number, at = features(words, model.lexicon, model.spec)
     emit = np.zeros((len(words), k), np.float32)
     has = np.fromiter((bool(w) for w in words), bool, len(words))
-    for lo in range(0, len(words), 50_000):
-        hi = min(lo + 50_000, len(words))
-        emit[lo:hi] = sums(model.weights[number[at[lo] : at[hi]]], at[lo : hi + 1] - at[lo])
+    for lo in range(0, len(words), 20_000):  # the features of so many words are in memory at once
+        number, at = features(words[lo : lo + 20_000], model.lexicon, model.spec)
+        emit[lo : lo + 20_000] = sums(model.weights[number], at)
     out, lettered = np.zeros((len(offsets) - 1, k)), np.zeros(len(offsets) - 1, np.int64)
     lo = 0
     while lo < len(offsets) - 1:
@@ -268,6 +267,14 @@ def shares(texts: pa.Array, model: Field, words_at_once: int = 200_000) -> tuple
     return out / np.maximum(lettered, 1)[:, None], lettered
 
 
+def portions(texts: pd.Series, chars: int = 4_000_000) -> Iterator[pa.Array]:
+    """The texts in turn, in arrays of about so many characters (or one longer text)."""
+    sizes = texts.str.len().fillna(0).to_numpy(dtype=np.int64)
+    part = np.cumsum(sizes) // chars
+    for p in np.unique(part):
+        yield pa.array(texts[part == p], pa.large_string(), from_pandas=True)
+
+
 def training_sample(docs: DataFrame, spec: LangIdSpec, id_column: str, text_column: str, lang_column: str, usable: Column) -> list[tuple[str, str]]:
     """Up to about spec.sample_docs (text, language) rows a language, those with the smallest hashes of their id."""
     labelled = docs.where(usable & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(id_column).cast("string").alias("id"), F.col(text_column).cast("string").alias("text"), F.col(lang_column).cast("string").alias("lang"))
@@ -296,8 +303,8 @@ def identify(docs: DataFrame, spec: LangIdSpec = LangIdSpec(), *, model: Field |
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = Field(**held.value, spec=spec)
         for batch in batches:
-            texts = pa.array(batch, pa.large_string(), from_pandas=True)
-            share, lettered = shares(texts, model) if labels else (np.zeros((len(texts), 0)), np.zeros(len(texts), np.int64))
+            parts = [shares(texts, model) if labels else (np.zeros((len(texts), 0)), np.zeros(len(texts), np.int64)) for texts in portions(batch)]
+            share, lettered = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
             known = lettered > 0
             best = share.argmax(axis=1) if labels else np.zeros(len(texts), np.int64)
             names = np.array([*labels, UNKNOWN], object)
