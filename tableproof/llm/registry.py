@@ -15,6 +15,7 @@ from tableproof.llm.host_quality import judge
 from tableproof.llm.line_spread import remove_boilerplate
 from tableproof.llm.mixing import mix
 from tableproof.llm.near_dedup import NearDupRules, near_duplicates
+from tableproof.llm.pii_segments import find as find_pii
 from tableproof.llm.secrets import digest as secret_digest
 from tableproof.llm.secrets import scan
 from tableproof.llm.url_filter import judge_urls
@@ -37,6 +38,10 @@ def op4_chain_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op5_segment_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(documents(spark, sf_dir))
+
+
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_verdict")
     return judge(documents(spark, sf_dir)).select(*columns)
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_templates": op2_templates,
     "op3_url_vocabulary": op3_url_vocabulary,
     "op4_chain_field": op4_chain_field,
+    "op5_segment_field": op5_segment_field,
     "op6_host_rules": op6_host_rules,
     "op8_line_spread": op8_line_spread,
     "op9_secret_battery": op9_secret_battery,
