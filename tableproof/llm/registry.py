@@ -12,6 +12,7 @@ from tableproof.llm.common import benchmark, documents, pages
 from tableproof.llm.crf_langid import held_out, identify
 from tableproof.llm.decontaminate import judge as judge_leaks
 from tableproof.llm.host_quality import judge
+from tableproof.llm.html_template import extract
 from tableproof.llm.line_spread import remove_boilerplate
 from tableproof.llm.mixing import mix
 from tableproof.llm.near_dedup import NearDupRules, near_duplicates
@@ -47,6 +48,10 @@ def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir)).select(*columns)
 
 
+def op7_page_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(pages(spark, sf_dir)).select("page_id", "url", "text", "n_chars")
+
+
 def op8_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_boilerplate(documents(spark, sf_dir)).select("doc_id", "text", F.col("_n_removed").alias("n_removed"))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chain_field": op4_chain_field,
     "op5_segment_field": op5_segment_field,
     "op6_host_rules": op6_host_rules,
+    "op7_page_templates": op7_page_templates,
     "op8_line_spread": op8_line_spread,
     "op9_secret_battery": op9_secret_battery,
     "op10_min_max": op10_min_max,
