@@ -38,25 +38,31 @@ class TemplateRules:
     broadcast_windows: int = 500_000
 
 
-def marked(text: Column) -> Column:
-    """The text with each number, unit and name as <n:value>, <u:value>, <a:value>, names in a row as one."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "[<>]", " ")
+def _marked(text: Column, values: bool) -> Column:
+    """The text in lower case with each number, unit and name as <n>, <u>, <a> (or <n:12>); names in a row are one.
+
+    Each pattern begins with a cheap look at the next character, so most places of a text are passed at once.
+    """
+    mark = lambda kind, group: f"<{kind}:${group}>" if values else f"<{kind}>"
+    t = F.translate(F.coalesce(text, F.lit("")), "<>", "  ")
     units = "|".join(sorted((u.replace("%", "[%]") for u in UNITS), key=lambda u: (-len(u), u)))
-    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}])({NUMBER})\x20?((?i:{units}))(?![\p{{L}}\p{{N}}])", " <n:$1> <u:$2> ")
-    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}:.,/])({NUMBER})(?![\p{{L}}\p{{N}}>])", " <n:$1> ")
+    measured = F.regexp_replace(t, rf"(?=[0-9])(?<![\p{{L}}\p{{N}}])({NUMBER})\x20?((?i:{units}))(?![\p{{L}}\p{{N}}])", f" {mark('n', 1)} {mark('u', 2)} ")
+    numbered = F.regexp_replace(measured, rf"(?=[0-9])(?<![\p{{L}}\p{{N}}:.,/])({NUMBER})(?![\p{{L}}\p{{N}}>])", f" {mark('n', 1)} ")
+    t = F.when(t.rlike("[0-9]"), numbered).otherwise(t)
     plain = "|".join(PLAIN)
-    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}<:])(?=\p{{Lu}})(?!(?iu:{plain})(?![\p{{L}}\p{{N}}]))([\p{{L}}\p{{M}}'’-]+)", " <a:$1> ")
-    return F.lower(F.regexp_replace(t, r"(?<=<a:[^>]{1,60})\x20*>\s+<a:", "_"))
+    t = F.regexp_replace(t, rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}<:])(?!(?iu:{plain})(?![\p{{L}}\p{{N}}]))([\p{{L}}\p{{M}}'’-]+)", f" {mark('a', 1)} ")
+    row = r"(<a:[^<>]*>)(?:\s+<a:[^<>]*>)+" if values else r"(<a>)(?:\s+<a>)+"
+    return F.lower(F.regexp_replace(t, row, "$1"))
 
 
 def template(text: Column) -> Column:
     """Array of template tokens: words, <n>, <u> and <a>."""
-    return F.regexp_extract_all(F.regexp_replace(marked(text), "<([nua]):[^>]*>", "<$1>"), F.lit(r"<[nua]>|[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(_marked(text, False), F.lit(r"<[nua]>|[\p{L}\p{N}]+"), F.lit(0))
 
 
 def slots(text: Column) -> Column:
     """The same tokens with the placeholders' values: <n:12>."""
-    return F.regexp_extract_all(marked(text), F.lit(r"<[nua]:[^>]*>|[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(_marked(text, True), F.lit(r"<[nua]:[^<>]*>|[\p{L}\p{N}]+"), F.lit(0))
 
 
 def windows(tokens: Column, width: int) -> Column:
@@ -69,6 +75,16 @@ def windows(tokens: Column, width: int) -> Column:
     return let(tokens, of)
 
 
+def valued_windows(text: Column, width: int) -> Column:
+    """Array of struct(at, h, v): each window's place, hash and the values of its tokens."""
+
+    def of(v: Column) -> Column:
+        plain = F.transform(v, lambda x: F.regexp_replace(x, "^<([nua]):.*>$", "<$1>"))
+        return F.transform(windows(plain, width), lambda h, i: F.struct(i.alias("at"), h.alias("h"), F.slice(v, i + 1, width).alias("v")))
+
+    return let(slots(text), of)
+
+
 def item_windows(items: DataFrame, rules: TemplateRules, id_column: str, text_column: str) -> DataFrame:
     """item, h, at, total (windows of the item that count): windows with enough plain words."""
     tokens = items.select(F.col(id_column).alias("item"), template(F.col(text_column)).alias("t")).withColumn("w", windows(F.col("t"), rules.width))
@@ -90,10 +106,10 @@ def contaminated(docs: DataFrame, items: DataFrame, rules: TemplateRules = Templ
     likely = hold(held.where(F.col("share") >= rules.containment))
     # slots are read only in documents that are likely to hold an item
     some = named.join(broadcast_if(hold(likely.select("id", "version").distinct()), 200_000), ["id", "version"], "left_semi").dropDuplicates(["id", "version"])
-    values = some.select("id", "version", slots(F.col("text")).alias("v"), F.posexplode(windows(template(F.col("text")), rules.width)).alias("p", "h"))
-    doc_side = values.join(likely, ["id", "version"]).select("id", "version", "item", "share", "p", "h", F.slice("v", F.col("p") + 1, rules.width).alias("dv"))
-    item_values = items.select(F.col(item_column).alias("item"), slots(F.col(item_text)).alias("v"), F.posexplode(windows(template(F.col(item_text)), rules.width)).alias("at", "h"))
-    item_side = item_values.join(bench.select("item", "h", "at"), ["item", "h", "at"], "left_semi").select("item", "h", "at", F.slice("v", F.col("at") + 1, rules.width).alias("iv"))
+    doc_side = some.select("id", "version", F.explode(valued_windows(F.col("text"), rules.width)).alias("w")).select("id", "version", F.col("w.at").alias("p"), F.col("w.h").alias("h"), F.col("w.v").alias("dv"))
+    doc_side = doc_side.join(likely, ["id", "version"])
+    named_items = items.select(F.col(item_column).alias("item"), F.explode(valued_windows(F.col(item_text), rules.width)).alias("w"))
+    item_side = named_items.select("item", F.col("w.h").alias("h"), F.col("w.at").alias("at"), F.col("w.v").alias("iv")).join(bench.select("item", "h", "at"), ["item", "h", "at"], "left_semi")
     meets = doc_side.join(item_side, ["item", "h"]).withColumn("offset", F.col("p") - F.col("at"))
     key = ["id", "version", "item"]
     along = hold(meets.groupBy(*key, "share", "offset").agg(F.count(F.lit(1)).alias("n"), F.flatten(F.collect_set(F.arrays_zip(F.col("iv").alias("iv"), F.col("dv").alias("dv")))).alias("pairs")))
