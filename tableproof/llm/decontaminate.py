@@ -38,9 +38,11 @@ class TemplateRules:
     broadcast_windows: int = 500_000
 
 
-def _marked(text: Column, values: bool) -> Column:
+def _marked(text: Column, values: bool, names: bool = True) -> Column:
     """The text in lower case with each number, unit and name as <n>, <u>, <a> (or <n:12>); names in a row are one.
 
+    A name begins with a capital and has a small letter: words all in capitals are plain.
+
     Each pattern begins with a cheap look at the next character, so most places of a text are passed at once.
     """
     mark = lambda kind, group: f"<{kind}:${group}>" if values else f"<{kind}>"
@@ -49,20 +51,22 @@ def _marked(text: Column, values: bool) -> Column:
     measured = F.regexp_replace(t, rf"(?=[0-9])(?<![\p{{L}}\p{{N}}])({NUMBER})\x20?((?i:{units}))(?![\p{{L}}\p{{N}}])", f" {mark('n', 1)} {mark('u', 2)} ")
     numbered = F.regexp_replace(measured, rf"(?=[0-9])(?<![\p{{L}}\p{{N}}:.,/])({NUMBER})(?![\p{{L}}\p{{N}}>])", f" {mark('n', 1)} ")
     t = F.when(t.rlike("[0-9]"), numbered).otherwise(t)
+    if not names:
+        return F.lower(t)
     plain = "|".join(PLAIN)
-    t = F.regexp_replace(t, rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}<:])(?!(?iu:{plain})(?![\p{{L}}\p{{N}}]))([\p{{L}}\p{{M}}'’-]+)", f" {mark('a', 1)} ")
+    t = F.regexp_replace(t, rf"(?=\p{{Lu}}[\p{{L}}\p{{M}}'’-]*?\p{{Ll}})(?<![\p{{L}}\p{{N}}<:])(?!(?iu:{plain})(?![\p{{L}}\p{{N}}]))([\p{{L}}\p{{M}}'’-]+)", f" {mark('a', 1)} ")
     row = r"(<a:[^<>]*>)(?:\s+<a:[^<>]*>)+" if values else r"(<a>)(?:\s+<a>)+"
     return F.lower(F.regexp_replace(t, row, "$1"))
 
 
-def template(text: Column) -> Column:
+def template(text: Column, names: bool = True) -> Column:
     """Array of template tokens: words, <n>, <u> and <a>."""
-    return F.regexp_extract_all(_marked(text, False), F.lit(r"<[nua]>|[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(_marked(text, False, names), F.lit(r"<[nua]>|[\p{L}\p{N}]+"), F.lit(0))
 
 
-def slots(text: Column) -> Column:
+def slots(text: Column, names: bool = True) -> Column:
     """The same tokens with the placeholders' values: <n:12>."""
-    return F.regexp_extract_all(_marked(text, True), F.lit(r"<[nua]:[^<>]*>|[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(_marked(text, True, names), F.lit(r"<[nua]:[^<>]*>|[\p{L}\p{N}]+"), F.lit(0))
 
 
 def windows(tokens: Column, width: int) -> Column:
@@ -75,24 +79,28 @@ def windows(tokens: Column, width: int) -> Column:
     return let(tokens, of)
 
 
-def valued_windows(text: Column, width: int) -> Column:
+def valued_windows(text: Column, width: int, names: bool = True) -> Column:
     """Array of struct(at, h, v): each window's place, hash and the values of its tokens."""
 
     def of(v: Column) -> Column:
         plain = F.transform(v, lambda x: F.regexp_replace(x, "^<([nua]):.*>$", "<$1>"))
         return F.transform(windows(plain, width), lambda h, i: F.struct(i.alias("at"), h.alias("h"), F.slice(v, i + 1, width).alias("v")))
 
-    return let(slots(text), of)
+    return let(slots(text, names), of)
 
 
 def item_windows(items: DataFrame, rules: TemplateRules, id_column: str, text_column: str) -> DataFrame:
-    """item, h, at, total (windows of the item that count): windows with enough plain words."""
-    tokens = items.select(F.col(id_column).alias("item"), template(F.col(text_column)).alias("t")).withColumn("w", windows(F.col("t"), rules.width))
-    rows = tokens.select("item", "t", F.posexplode("w").alias("at", "h"))
+    """item, names, h, at, total (windows of the item that count): windows with enough plain words.
+
+    Each item is taken with names as placeholders and, for texts all in capitals, without.
+    """
+    both = [items.select(F.col(id_column).alias("item"), F.lit(names).alias("names"), template(F.col(text_column), names).alias("t")) for names in (True, False)]
+    tokens = both[0].unionByName(both[1]).withColumn("w", windows(F.col("t"), rules.width))
+    rows = tokens.select("item", "names", "t", F.posexplode("w").alias("at", "h"))
     literals = F.size(F.filter(F.slice("t", F.col("at") + 1, rules.width), lambda x: ~x.startswith("<")))
-    good = rows.where(literals >= rules.min_literals).select("item", "h", "at")
-    total = good.groupBy("item").agg(F.countDistinct("h").alias("total"))
-    return good.join(total, "item")
+    good = rows.where(literals >= rules.min_literals).select("item", "names", "h", "at")
+    total = good.groupBy("item", "names").agg(F.countDistinct("h").alias("total"))
+    return good.join(total, ["item", "names"])
 
 
 def contaminated(docs: DataFrame, items: DataFrame, rules: TemplateRules = TemplateRules(), *, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -102,18 +110,18 @@ def contaminated(docs: DataFrame, items: DataFrame, rules: TemplateRules = Templ
     named = docs.select(F.col(id_column).alias("id"), F.xxhash64(F.col(text_column)).alias("version"), F.col(text_column).cast("string").alias("text"))
     hashes = named.select("id", "version", F.explode(F.array_distinct(windows(template(F.col("text")), rules.width))).alias("h"))
     hits = hashes.join(broadcast_if(hold(wanted), rules.broadcast_windows), "h").distinct()
-    held = hits.join(bench.select("item", "h", "total").distinct(), "h").groupBy("id", "version", "item").agg((F.count(F.lit(1)) / F.min("total")).alias("share"))
+    held = hits.join(bench.select("item", "names", "h", "total").distinct(), "h").groupBy("id", "version", "item", "names").agg((F.count(F.lit(1)) / F.min("total")).alias("share"))
     likely = hold(held.where(F.col("share") >= rules.containment))
     # slots are read only in documents that are likely to hold an item
     some = named.join(broadcast_if(hold(likely.select("id", "version").distinct()), 200_000), ["id", "version"], "left_semi").dropDuplicates(["id", "version"])
     doc_side = some.select("id", "version", F.explode(valued_windows(F.col("text"), rules.width)).alias("w")).select("id", "version", F.col("w.at").alias("p"), F.col("w.h").alias("h"), F.col("w.v").alias("dv"))
     doc_side = doc_side.join(likely, ["id", "version"])
-    named_items = items.select(F.col(item_column).alias("item"), F.explode(valued_windows(F.col(item_text), rules.width)).alias("w"))
-    item_side = named_items.select("item", F.col("w.h").alias("h"), F.col("w.at").alias("at"), F.col("w.v").alias("iv")).join(bench.select("item", "h", "at"), ["item", "h", "at"], "left_semi")
-    meets = doc_side.join(item_side, ["item", "h"]).withColumn("offset", F.col("p") - F.col("at"))
+    both = [items.select(F.col(item_column).alias("item"), F.lit(names).alias("names"), F.explode(valued_windows(F.col(item_text), rules.width, names)).alias("w")) for names in (True, False)]
+    item_side = both[0].unionByName(both[1]).select("item", "names", F.col("w.h").alias("h"), F.col("w.at").alias("at"), F.col("w.v").alias("iv")).join(bench.select("item", "names", "h", "at"), ["item", "names", "h", "at"], "left_semi")
+    meets = doc_side.join(item_side, ["item", "names", "h"]).withColumn("offset", F.col("p") - F.col("at"))
     key = ["id", "version", "item"]
-    along = hold(meets.groupBy(*key, "share", "offset").agg(F.count(F.lit(1)).alias("n"), F.flatten(F.collect_set(F.arrays_zip(F.col("iv").alias("iv"), F.col("dv").alias("dv")))).alias("pairs")))
-    best = along.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("n"), "offset"))).where(F.col("r") == 1)
+    along = hold(meets.groupBy(*key, "names", "share", "offset").agg(F.count(F.lit(1)).alias("n"), F.flatten(F.collect_set(F.arrays_zip(F.col("iv").alias("iv"), F.col("dv").alias("dv")))).alias("pairs")))
+    best = along.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("n"), F.desc("share"), F.desc("names"), "offset"))).where(F.col("r") == 1)
     pairs = F.array_distinct(F.filter("pairs", lambda x: x["iv"].startswith("<")))
     consistency = let(pairs, lambda ps: F.when(F.size(ps) == 0, F.lit(1.0)).otherwise(F.aggregate(F.transform(ps, lambda x: F.when(F.size(F.filter(ps, lambda y: y["iv"] == x["iv"])) == 1, 1.0).otherwise(0.0)), F.lit(0.0), lambda a, v: a + v) / F.size(ps)))
     return hold(best.select(*key, "share", consistency.alias("consistency")).where(F.col("consistency") >= rules.consistency))
