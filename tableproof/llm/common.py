@@ -39,14 +39,20 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def hold(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read from there: lineage ends, lost executors cost nothing.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which driver and executors share.
 
-    The folder is the one that spark.checkpoint.dir names; only a session that names none (a test) gets its own.
+    It is the one that spark.checkpoint.dir names; only a session that names none (a test) gets its own.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tableproof-"))
+    return context.getCheckpointDir()
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder and read from there: lineage ends, lost executors cost nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
