@@ -284,7 +284,7 @@ def training_sample(docs: DataFrame, spec: LangIdSpec, id_column: str, text_colu
     for lang, n in sorted(counts.items()):
         keep = keep | ((F.col("lang") == lang) & (draw < spec.sample_docs / n))
     rows = labelled.where(keep & (F.length("text") <= spec.sample_chars)).select("id", "text", "lang").collect()
-    return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["id"], r["lang"], r["text"]))]
+    return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["id"] or "", r["lang"], r["text"]))]
 
 
 def held_out(id_column: Column) -> Column:

@@ -5,9 +5,10 @@ hash evaluations a signature of given length takes; matches of the minimum and o
 Jaccard similarity and (nearly) uncorrelated. Bands of the signature propose candidates, the full sets decide.
 
 Documents with equal sets form one class (its smallest id stands for it), so copies cost nothing further. In each
-bucket the members are compared with one hub, not with each other: whatever links to the hub is connected. Members of a
-bucket that are still in different components are compared with further hubs, and at last pair by pair, until no bucket
-holds a pair that was not compared or is not connected; so no group is expanded into all pairs and no candidate lost.
+bucket the members are compared with one hub, not with each other: whatever links to the hub is connected. A few bands
+connect most of a group; then members of a bucket that are still in different components are compared with hubs of all
+bands, and at last pair by pair, until no bucket holds a pair that was not compared or is not connected; so no group is
+expanded into all pairs and no candidate lost.
 
 Nulls: a null text is empty; empty texts have no shingles and link with nothing. A null id gets no component and is
 kept. Rows that share an id count as linked. An empty table gives an empty result.
@@ -41,6 +42,8 @@ class NearDupRules:
     bands: int = 40
     #: Permutations of a band; each gives two of its values.
     permutations: int = 3
+    #: Bands whose hubs connect groups before those of all bands.
+    first_bands: int = 4
     #: Rounds of further hubs before the rest is compared pair by pair, and how many pairs that may be at once
     #: before another round is worth it.
     hub_rounds: int = 6
@@ -68,11 +71,22 @@ def _scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def lower_ascii(texts: pa.Array) -> pa.Array:
+    """The texts with A-Z in lower case and no null; every other byte stays (arrow's own function alters some in slices)."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    validity, offsets, data = texts.buffers()
+    if data is None or not len(texts):
+        return texts
+    chars = np.frombuffer(data, np.uint8)
+    chars = chars + ((chars >= 65) & (chars <= 90)).view(np.uint8) * np.uint8(32)
+    return pa.Array.from_buffers(texts.type, len(texts), [validity, offsets, pa.py_buffer(chars)], offset=texts.offset)
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all words of the texts in turn, the texts' offsets in them, and which texts have none."""
     import xxhash
 
-    clean = pc.ascii_trim(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")), characters=" \t\n\v\f\r")
+    clean = pc.ascii_trim(lower_ascii(texts), characters=" \t\n\v\f\r")
     lists = pc.ascii_split_whitespace(clean)
     codes = pc.dictionary_encode(lists.flatten())
     names = codes.dictionary.to_pylist()
@@ -123,12 +137,20 @@ def band_keys(hashes: np.ndarray, factors: np.ndarray, rules: NearDupRules) -> n
     return keys.view(np.int64)
 
 
+def portions(batch: pa.RecordBatch, column: str, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about so many bytes of text (or one longer text)."""
+    part = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // chars
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(part)]
+    for lo, hi in zip(cuts, cuts[1:]):
+        yield batch.slice(lo, hi - lo)
+
+
 def signatures(docs: DataFrame, rules: NearDupRules, id_column: str, text_column: str) -> DataFrame:
     """doc_id, n (set size), f1, f2 (fingerprint of the set), keys (one a band) for every row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = _factors(rules)
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole, "text")):
             n, f1, f2, keys = [], [], [], []
             for hashes in shingle_sets(batch.column("text"), rules.width):
                 n.append(len(hashes))
@@ -151,7 +173,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, rules: NearDupRules) -> Da
     """a, b, linked for each pair (a, b): compared on the full sets of texts (id, text)."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole, "tb")):
             both = {}
             for side in ("ta", "tb"):
                 encoded = pc.dictionary_encode(batch.column(side))  # a hub's text comes once for each of its pairs
@@ -177,33 +199,31 @@ def _fits(x: str, y: str, rules: NearDupRules):
 
 
 def class_components(classes: DataFrame, docs: DataFrame, rules: NearDupRules, id_column: str, text_column: str) -> DataFrame:
-    """node (a class's representative), component for the classes that link with another. classes: rep, n, keys."""
+    """node (a class's representative), component for the classes that link with another. classes (held): rep, n, keys."""
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    members = classes.select(F.col("rep").alias("id"), "n", F.explode("keys").alias("key"))
+    members = classes.select(F.col("rep").alias("id"), "n", F.posexplode("keys").alias("band", "key"))
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("id", "n")).alias("hub")).where(F.col("members") > 1)
     # buckets of one class can't propose anything; the others are few and held for the rounds that follow
-    crowded = hold(members.join(sizes, "key").select("key", "id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")))
-    pairs = crowded.where((F.col("id") != F.col("hub")) & _fits("n", "hub_n", rules)).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    crowded = hold(members.join(sizes, "key").select("key", "band", "id", "n", F.col("hub.id").alias("id2"), F.col("hub.n").alias("n2")))
+    pairs = crowded.where((F.col("band") < rules.first_bands) & (F.col("id") != F.col("id2")) & _fits("n", "n2", rules)).select(F.col("id2").alias("a"), F.col("id").alias("b")).distinct()
     compared = hold(_verify(pairs, texts, rules))
     found = hold(components(compared.where("linked")))
     for turn in range(rules.hub_rounds + 1):
-        placed = crowded.select("key", "id", "n").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        placed = crowded.select("key", "band", "id", "n").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
         mixed = parts.groupBy("key").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).cast("long").alias("open"), F.count(F.lit(1)).alias("parts")).where(F.col("parts") > 1)
         open_pairs = mixed.agg(F.coalesce(F.sum("open"), F.lit(0)).alias("n")).first()["n"]
         if not open_pairs:
             break
         placed = hold(placed.join(mixed.select("key"), "key", "left_semi"))
-        direct = open_pairs <= rules.pairs_at_once or turn == rules.hub_rounds
+        direct = turn == rules.hub_rounds or (turn and open_pairs <= rules.pairs_at_once)
         if direct:
-            other = placed.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-            # pairs across components only, each bucket joined with itself
-            candidate = placed.join(other, "key").where((F.col("id") < F.col("id2")) & (F.col("component") != F.col("component2")) & _fits("n", "n2", rules))
+            candidate = _open_pairs(placed, classes, rules)
         else:
-            order = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
+            order = F.struct(F.when(F.lit(turn) == 0, F.col("id")).otherwise(F.xxhash64("id", F.lit(turn))).alias("h"), F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
             hubs = placed.groupBy("key").agg(F.min(order).alias("hub")).select("key", "hub.id2", "hub.n2", "hub.component2")
-            candidate = placed.join(hubs, "key").where((F.col("component") != F.col("component2")) & _fits("n", "n2", rules))
-        fresh = candidate.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct().join(compared.select("a", "b"), ["a", "b"], "left_anti")
+            candidate = placed.join(hubs, "key").where((F.col("component") != F.col("component2")) & _fits("n", "n2", rules)).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+        fresh = candidate.join(compared.select("a", "b"), ["a", "b"], "left_anti")
         more = hold(_verify(fresh, texts, rules))
         compared = hold(compared.unionByName(more))
         found = hold(components(compared.where("linked")))
@@ -212,6 +232,15 @@ def class_components(classes: DataFrame, docs: DataFrame, rules: NearDupRules, i
     return found
 
 
+def _open_pairs(placed: DataFrame, classes: DataFrame, rules: NearDupRules) -> DataFrame:
+    """a, b: each pair of classes of different components that share a bucket, once: in the first band they share."""
+    keyed = hold(placed.join(classes.select(F.col("rep").alias("id"), "keys"), "id"))
+    other = keyed.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("component2"), F.col("keys").alias("keys2"))
+    first = F.array_position(F.zip_with("keys", "keys2", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1
+    pairs = keyed.join(other, (keyed["key"] == other["key"]) & (F.col("id") < F.col("id2")) & (F.col("component") != F.col("component2")) & _fits("n", "n2", rules) & first)
+    return pairs.select(F.col("id").alias("a"), F.col("id2").alias("b"))
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, rules: NearDupRules) -> DataFrame:
     """pairs compared; only texts that some pair needs are shuffled, one row an id."""
     pairs = hold(pairs)
