@@ -137,7 +137,7 @@ def band_keys(hashes: np.ndarray, factors: np.ndarray, rules: NearDupRules) -> n
     return keys.view(np.int64)
 
 
-def portions(batch: pa.RecordBatch, column: str, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def portions(batch: pa.RecordBatch, column: str, chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about so many bytes of text (or one longer text)."""
     part = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // chars
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(part)]
