@@ -40,9 +40,16 @@ def iso(y: Column, m: Column, d: Column, hh: Column, mm: Column, ss: Column) ->
     return F.when(valid, F.when((hh > 0) | (mm > 0) | (ss > 0), F.concat(date, F.format_string(" %02d:%02d:%02d", hh, mm, ss))).otherwise(date))
 
 
-def _of(token: Column, pattern: str, y: int, m: int | Column, d: int, clock: int) -> Column:
-    month = _int(token, pattern, m) if isinstance(m, int) else m
-    return iso(full_year(_int(token, pattern, y)) if pattern not in (ISO_DASH, ISO_SLASH) else _int(token, pattern, y), month, _int(token, pattern, d), *(_int(token, pattern, clock + k) for k in range(3)))
+def _fields(token: Column, pattern: str, y: int, m: int | Column, d: int, clock: int, century: bool = True) -> Column:
+    """struct of a date's numbers, as the pattern's groups hold them."""
+    year = _int(token, pattern, y)
+    parts = [full_year(year) if century else year, _int(token, pattern, m) if isinstance(m, int) else m, _int(token, pattern, d), *(_int(token, pattern, clock + k) for k in range(3))]
+    return F.struct(*[p.alias(n) for p, n in zip(parts, ("y", "m", "d", "hh", "mm", "ss"), strict=True)])
+
+
+def _iso_fields(fields: Column) -> Column:
+    """iso() of a struct, bound to a variable: written out, its copies would outgrow a compiled method."""
+    return F.element_at(F.transform(F.array(fields), lambda p: F.when(p.isNotNull(), iso(*(p[n] for n in ("y", "m", "d", "hh", "mm", "ss"))))), 1)
 
 
 def _month(token: Column, pattern: str, group: int) -> Column:
@@ -60,19 +67,24 @@ def unambiguous(token: Column, allow_epoch_excel: bool = False) -> Column:
 
     Epochs and spreadsheet serials are read in the session's zone, which the engine keeps at UTC.
     """
+    return F.element_at(F.transform(F.array(token), lambda t: _unambiguous(t, allow_epoch_excel)), 1)
+
+
+def _unambiguous(token: Column, allow_epoch_excel: bool) -> Column:
     by_day, by_month = _month(token, DAY_MONTH, 2), _month(token, MONTH_DAY, 1)
-    found = (
-        F.when(token.rlike(ISO_DASH), _of(token, ISO_DASH, 1, 2, 3, 4))
-        .when(token.rlike(ISO_SLASH), _of(token, ISO_SLASH, 1, 2, 3, 4))
-        .when(token.rlike(DAY_MONTH) & by_day.isNotNull(), _of(token, DAY_MONTH, 3, by_day, 1, 4))
-        .when(token.rlike(MONTH_DAY) & by_month.isNotNull(), _of(token, MONTH_DAY, 3, by_month, 2, 4))
+    found = _iso_fields(
+        F.when(token.rlike(ISO_DASH), _fields(token, ISO_DASH, 1, 2, 3, 4, False))
+        .when(token.rlike(ISO_SLASH), _fields(token, ISO_SLASH, 1, 2, 3, 4, False))
+        .when(token.rlike(DAY_MONTH) & by_day.isNotNull(), _fields(token, DAY_MONTH, 3, by_day, 1, 4))
+        .when(token.rlike(MONTH_DAY) & by_month.isNotNull(), _fields(token, MONTH_DAY, 3, by_month, 2, 4))
     )
     if allow_epoch_excel:
         n = token.try_cast("long")
         seconds = F.when(F.length(token) <= 10, n).when(F.length(token) <= 13, F.floor(n / 1000)).otherwise(F.floor(n / 1_000_000))
         days = token.try_cast("double")
         serial = F.when(days.between(1, 2958465), F.timestamp_micros(F.round((days - 25569) * 86_400_000_000).cast("long")))
-        found = found.when(token.rlike(EPOCH), _iso_of(F.timestamp_seconds(seconds))).when(token.rlike(EXCEL), _iso_of(serial))
+        dated = token.rlike(ISO_DASH) | token.rlike(ISO_SLASH) | (token.rlike(DAY_MONTH) & by_day.isNotNull()) | (token.rlike(MONTH_DAY) & by_month.isNotNull())
+        found = F.when(dated, found).when(token.rlike(EPOCH), _iso_of(F.timestamp_seconds(seconds))).when(token.rlike(EXCEL), _iso_of(serial))
     return found
 
 
@@ -91,6 +103,11 @@ def second_field(token: Column) -> Column:
 
 def ordered(token: Column, order: Column) -> Column:
     """ISO text of a numeric token, its fields read as order (DMY or MDY) says; null without an order."""
-    first, second = first_field(token), second_field(token)
-    month, day = F.when(order == "DMY", second).otherwise(first), F.when(order == "DMY", first).otherwise(second)
-    return F.when(order.isNotNull() & is_numeric(token), iso(full_year(_int(token, NUMERIC, 4)), month, day, *(_int(token, NUMERIC, 5 + k) for k in range(3))))
+    def read(t: Column) -> Column:
+        first, second = first_field(t), second_field(t)
+        month, day = F.when(order == "DMY", second).otherwise(first), F.when(order == "DMY", first).otherwise(second)
+        parts = [full_year(_int(t, NUMERIC, 4)), month, day, *(_int(t, NUMERIC, 5 + k) for k in range(3))]
+        fields = F.struct(*[p.alias(n) for p, n in zip(parts, ("y", "m", "d", "hh", "mm", "ss"), strict=True)])
+        return F.when(order.isNotNull() & is_numeric(t), _iso_fields(fields))
+
+    return F.element_at(F.transform(F.array(token), read), 1)

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from tableproof.functions.text import word_set
 
@@ -33,7 +34,7 @@ def subsequence(a: str, b: str) -> int:
     return len(b) - row.bit_count()
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def _subsequence(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for left, right in pairs:
         yield pd.Series([-1 if a is None or b is None else subsequence(a, b) for a, b in zip(left, right, strict=True)], dtype="int64")
