@@ -56,6 +56,13 @@ def hold(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def hold_fit(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """hold(df) in tasks of about so many rows: small tables of many partitions make many small files otherwise."""
+    held = hold(df)
+    tasks = held.count() // rows + 1
+    return held.coalesce(tasks) if tasks < held._jdf.rdd().getNumPartitions() else held
+
+
 def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows (they are counted); call it on held, narrow tables."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

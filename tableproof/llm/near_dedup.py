@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableproof.llm.common import broadcast_if, hold, ship
+from tableproof.llm.common import broadcast_if, hold, hold_fit, ship
 from tableproof.llm.components import components
 
 ship(__name__)
@@ -204,10 +204,10 @@ def class_components(classes: DataFrame, docs: DataFrame, rules: NearDupRules, i
     members = classes.select(F.col("rep").alias("id"), "n", F.posexplode("keys").alias("band", "key"))
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("id", "n")).alias("hub")).where(F.col("members") > 1)
     # buckets of one class can't propose anything; the others are few and held for the rounds that follow
-    crowded = hold(members.join(sizes, "key").select("key", "band", "id", "n", F.col("hub.id").alias("id2"), F.col("hub.n").alias("n2")))
+    crowded = hold_fit(members.join(sizes, "key").select("key", "band", "id", "n", F.col("hub.id").alias("id2"), F.col("hub.n").alias("n2")))
     pairs = crowded.where((F.col("band") < rules.first_bands) & (F.col("id") != F.col("id2")) & _fits("n", "n2", rules)).select(F.col("id2").alias("a"), F.col("id").alias("b")).distinct()
-    compared = hold(_verify(pairs, texts, rules))
-    found = hold(components(compared.where("linked")))
+    compared = hold_fit(_verify(pairs, texts, rules))
+    found = hold_fit(components(compared.where("linked")))
     for turn in range(rules.hub_rounds + 1):
         placed = crowded.select("key", "band", "id", "n").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
@@ -215,7 +215,7 @@ def class_components(classes: DataFrame, docs: DataFrame, rules: NearDupRules, i
         open_pairs = mixed.agg(F.coalesce(F.sum("open"), F.lit(0)).alias("n")).first()["n"]
         if not open_pairs:
             break
-        placed = hold(placed.join(mixed.select("key"), "key", "left_semi"))
+        placed = hold_fit(placed.join(mixed.select("key"), "key", "left_semi"))
         direct = turn == rules.hub_rounds or (turn and open_pairs <= rules.pairs_at_once)
         if direct:
             candidate = _open_pairs(placed, classes, rules)
@@ -224,9 +224,8 @@ def class_components(classes: DataFrame, docs: DataFrame, rules: NearDupRules, i
             hubs = placed.groupBy("key").agg(F.min(order).alias("hub")).select("key", "hub.id2", "hub.n2", "hub.component2")
             candidate = placed.join(hubs, "key").where((F.col("component") != F.col("component2")) & _fits("n", "n2", rules)).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
         fresh = candidate.join(compared.select("a", "b"), ["a", "b"], "left_anti")
-        more = hold(_verify(fresh, texts, rules))
-        compared = hold(compared.unionByName(more))
-        found = hold(components(compared.where("linked")))
+        compared = hold_fit(compared.unionByName(_verify(fresh, texts, rules)))
+        found = hold_fit(components(compared.where("linked")))
         if direct:
             break
     return found
@@ -234,7 +233,7 @@ def class_components(classes: DataFrame, docs: DataFrame, rules: NearDupRules, i
 
 def _open_pairs(placed: DataFrame, classes: DataFrame, rules: NearDupRules) -> DataFrame:
     """a, b: each pair of classes of different components that share a bucket, once: in the first band they share."""
-    keyed = hold(placed.join(classes.select(F.col("rep").alias("id"), "keys"), "id"))
+    keyed = hold_fit(placed.join(classes.select(F.col("rep").alias("id"), "keys"), "id"))
     other = keyed.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("component2"), F.col("keys").alias("keys2"))
     first = F.array_position(F.zip_with("keys", "keys2", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1
     pairs = keyed.join(other, (keyed["key"] == other["key"]) & (F.col("id") < F.col("id2")) & (F.col("component") != F.col("component2")) & _fits("n", "n2", rules) & first)
@@ -243,9 +242,9 @@ def _open_pairs(placed: DataFrame, classes: DataFrame, rules: NearDupRules) -> D
 
 def _verify(pairs: DataFrame, texts: DataFrame, rules: NearDupRules) -> DataFrame:
     """pairs compared; only texts that some pair needs are shuffled, one row an id."""
-    pairs = hold(pairs)
-    needed = hold(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    wanted = hold(texts.join(broadcast_if(needed, rules.broadcast_ids), "id", "left_semi").dropDuplicates(["id"]))
+    pairs = hold_fit(pairs)
+    needed = hold_fit(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    wanted = hold_fit(texts.join(broadcast_if(needed, rules.broadcast_ids), "id", "left_semi").dropDuplicates(["id"]), 20_000)
     return similar_pairs(pairs, wanted, rules).select("a", "b", "linked")
 
 
