@@ -174,7 +174,10 @@ def fit(rows: list[tuple[str, str]], spec: LangIdSpec = LangIdSpec()) -> Field:
     model = Field(labels, np.zeros((spec.buckets + len(lexicon), k)), np.zeros((k, k)), np.zeros(k), lexicon, spec)
     if k < 2:
         return model
-    number, at = features(words, lexicon, spec)
+    parts = [features(words[lo : lo + 20_000], lexicon, spec) for lo in range(0, len(words), 20_000)]
+    number = np.concatenate([p[0].astype(np.int32) for p in parts])
+    at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
+    del parts, by_word
     random = np.random.default_rng(spec.seed)
     seen_w, seen_t = np.full(model.weights.shape, 1e-2), np.full((k, k), 1.0)
     # stretches of one language each

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tableproof.llm.common import hold, word_count
+from tableproof.llm.common import hold, hold_fit, word_count
 
 UNIT = 1 << 20  # rates are counted in this fraction
 
@@ -84,9 +84,10 @@ def solve(histogram: DataFrame, goals: DataFrame, spec: MixSpec) -> DataFrame:
     full = F.col("target") >= F.col("source_size") * spec.max_copies * (1 - 1e-12)
     state = state.withColumn("lam", F.when(full, F.lit(1e12)).otherwise(F.lit(0.0))).withColumn("low", F.lit(-1e7)).withColumn("high", F.lit(1e7)).withColumn("rest", F.when(full, F.lit(0.0)).otherwise(F.lit(1.0)))
     state = hold(state)
+    few = state.count() <= spec.broadcast_sources
     for _ in range(spec.max_rounds):
         for _ in range(spec.steps):
-            state = _newton(histogram, state, spec)
+            state = _newton(histogram, F.broadcast(state) if few else state, spec)
         state = hold(state)
         worst = state.agg(F.max("rest").alias("worst")).first()["worst"]
         if worst is None or worst <= spec.tolerance:
@@ -94,6 +95,9 @@ def solve(histogram: DataFrame, goals: DataFrame, spec: MixSpec) -> DataFrame:
     return state.select("src", "source_size", "target", "mean", "lam")
 
 
+STATE = ("source_size", "target", "docs", "mean", "lam", "low", "high", "rest")
+
+
 def _newton(histogram: DataFrame, state: DataFrame, spec: MixSpec) -> DataFrame:
     """One step: the gradient is words taken less target, the curvature its derivative by lambda."""
     x = F.col("size") / F.col("mean")
@@ -101,8 +105,7 @@ def _newton(histogram: DataFrame, state: DataFrame, spec: MixSpec) -> DataFrame:
     share = rate / F.lit(float(spec.max_copies * UNIT))
     words = (F.col("n") * F.col("size")).cast("decimal(38,0)")
     bend = F.round(share * (1 - share) * x * UNIT).cast("decimal(38,0)")
-    sums = histogram.join(state.select("src", "mean", "lam"), "src").groupBy("src").agg(F.sum((words * rate).cast("decimal(38,0)")).alias("taken"), F.sum((words * bend).cast("decimal(38,0)")).alias("bend"))
-    joined = state.join(sums, "src")
+    sums = histogram.join(state, "src").groupBy("src").agg(F.sum((words * rate).cast("decimal(38,0)")).alias("taken"), F.sum((words * bend).cast("decimal(38,0)")).alias("bend"), *[F.max(c).alias(c) for c in STATE])
     over = F.col("taken").cast("double") / UNIT - F.col("target")
     low, high = F.when(over <= 0, F.col("lam")).otherwise(F.col("low")), F.when(over >= 0, F.col("lam")).otherwise(F.col("high"))
     step = F.col("lam") - over / F.greatest(F.col("bend").cast("double") / UNIT * spec.max_copies, F.lit(1e-300))
@@ -110,11 +113,11 @@ def _newton(histogram: DataFrame, state: DataFrame, spec: MixSpec) -> DataFrame:
     done = (F.col("rest") <= spec.tolerance) | (F.abs(over) <= spec.tolerance * F.greatest(F.col("target"), F.lit(1.0)))
     rest = F.when(done, F.lit(0.0)).when(high - low <= 1e-13 * F.greatest(F.abs(high), F.lit(1e-9)), F.lit(0.0)).otherwise(F.abs(over) / F.greatest(F.col("target"), F.lit(1.0)))
     lam = F.when(done, F.col("lam")).when(inside, step).otherwise((low + high) / 2)
-    return joined.select("src", "source_size", "target", "docs", "mean", lam.alias("lam"), low.alias("low"), high.alias("high"), rest.alias("rest"))
+    return sums.select("src", "source_size", "target", "docs", "mean", lam.alias("lam"), low.alias("low"), high.alias("high"), rest.alias("rest"))
 
 
 def running(rows: DataFrame, keys: Sequence[str], levels: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
-    """rows with the sum of value over all rows of the same keys that come before, as column out.
+    """rows (held: they are read several times) with the sum of value over all rows of the same keys before, as out.
 
     The order is by levels, then order. Each level's buckets are summed and only their sums ordered, so one task
     sees one bucket of rows, or the buckets of one level; keys, levels and order hold no nulls.
@@ -142,12 +145,12 @@ def _with_sources(units: DataFrame, sources: DataFrame, spec: MixSpec) -> DataFr
 
 def mix_units(units: DataFrame, spec: MixSpec) -> DataFrame:
     """units (held) with source_size, target and taken (words of each of the unit's rows)."""
-    histogram = hold(units.groupBy("src", "size").agg(F.sum("m").alias("n")))
+    histogram = hold_fit(units.groupBy("src", "size").agg(F.sum("m").alias("n")))
     by_source = histogram.groupBy("src").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     sources = hold(solve(histogram, targets(by_source, spec), spec))
     rated = _with_sources(units, sources, spec)
     mark = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "version")
-    rated = rated.select("id", "src", "version", "size", "m", _rate(F.col("lam"), F.col("size") / F.col("mean"), spec).alias("rate"), mark.alias("mark"), F.pmod(mark, F.lit(64)).alias("bucket"))
+    rated = hold(rated.select("id", "src", "version", "size", "m", _rate(F.col("lam"), F.col("size") / F.col("mean"), spec).alias("rate"), mark.alias("mark"), F.pmod(mark, F.lit(64)).alias("bucket")))
     # systematic rounding along the sizes: a copy falls due whenever the running sum of rates passes a whole number
     summed = running(rated, ["src"], ["size", "bucket"], ["mark", "id"], "rate", "before")
     start = F.col("before") + F.pmod(F.xxhash64("src"), F.lit(UNIT))
@@ -158,7 +161,7 @@ def mix_units(units: DataFrame, spec: MixSpec) -> DataFrame:
     lacks = sources.join(got, "src").select("src", "source_size", "target", (F.round("target").cast("long") - F.col("got")).alias("lack"))
     filled = _with_sources(copied, hold(lacks), spec)
     room = F.when(F.col("lack") >= 0, F.col("size") * spec.max_copies - F.col("whole")).otherwise(F.col("whole")) * F.col("m")
-    filled = running(filled.withColumn("room", room), ["src"], ["bucket"], ["mark", "id", "version"], "room", "before")
+    filled = running(hold(filled.withColumn("room", room)), ["src"], ["bucket"], ["mark", "id", "version"], "room", "before")
     moved = F.least(F.greatest(F.abs("lack") - F.col("before"), F.lit(0)), F.col("room"))
     taken = F.col("whole") + F.signum(F.col("lack").cast("double")).cast("long") * F.floor(moved / F.col("m")).cast("long")
     return filled.select("id", "src", "version", "size", "m", "source_size", "target", taken.alias("taken"))
