@@ -11,6 +11,7 @@ from tableproof.functions.tokens import null_like
 from tableproof.operators.ledger import WARNINGS, change, empty, warning
 from tableproof.plans.cells import ROW, columns_of, first_rows
 from tableproof.plans.groups import components_in
+from tableproof.plans.rows import number_by
 
 
 def keyed(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -61,7 +62,7 @@ def groups(members: DataFrame, threshold: float) -> DataFrame:
     words = F.size(word_set(F.col("key"))) > 0
     placed = placed.where(F.col("root").isNotNull() | words).withColumn("root", F.coalesce("root", "kid"))
     sizes = placed.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("size"), F.min(ROW).alias("group_first"), F.min("block_first").alias("block_first")).where(F.col("size") > 1)
-    numbered = sizes.withColumn("gid", F.row_number().over(Window.orderBy("block_first", "group_first")) - 1)  # a row a group
+    numbered = number_by(sizes, "block_first", "group_first").withColumnRenamed(ROW, "gid")
     return placed.drop("block_first").join(numbered.select("sig", "root", "gid", "size"), ["sig", "root"])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableproof.plans.cells import ROW
+from tableproof.plans.held import hold
 
 OFFSET = (1 << 33) - 1
 
@@ -13,7 +14,7 @@ OFFSET = (1 << 33) - 1
 def number_rows(df: DataFrame) -> DataFrame:
     """df with row_index from 0 in the order of its partitions: sizes are counted first, then offsets added.
 
-    df must give the same rows in the same partitions twice, as scans of files do.
+    df must give the same rows in the same partitions twice, as scans of files and held tables do.
     """
     part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND(OFFSET)
     marked = df.withColumn("_at", F.monotonically_increasing_id())
@@ -43,7 +44,7 @@ def renumber(df: DataFrame, step: int = 65_536) -> DataFrame:
 def number_by(df: DataFrame, *order: str) -> DataFrame:
     """df with row_index from 0 in the order of columns that tell rows apart (a key): range-partitioned, then numbered."""
     ranged = df.repartitionByRange(*[F.col(f"`{c}`") for c in order]).sortWithinPartitions(*order)
-    return number_rows(ranged)
+    return number_rows(hold(ranged))
 
 
 def preview(df: DataFrame, n: int = 50) -> DataFrame:

@@ -15,6 +15,7 @@ from tableproof.operators import apply, coherence, dates, duplicates, inference,
 from tableproof.plans import fixtures as fx
 from tableproof.plans.analysis import Options, analyse
 from tableproof.plans.cells import ROW, cells, dictionary
+from tableproof.plans.held import hold
 from tableproof.plans.rows import number_rows
 from tableproof.session import table
 
@@ -368,7 +369,7 @@ def report_columns(spark, sf):
 def ledger_ordered(spark, sf):
     changes = _cleaning(spark, sf)[1]
     ordered = changes.orderBy(*ledger.report_order())
-    numbered = number_rows(ordered.select(F.col(ROW).alias("cell_row"), F.col("column").alias("col_name"), "kind", F.col("after").alias("new_value")))
+    numbered = number_rows(hold(ordered.select(F.col(ROW).alias("cell_row"), F.col("column").alias("col_name"), "kind", F.col("after").alias("new_value"))))
     return _named(numbered, row_index="place")
 
 
