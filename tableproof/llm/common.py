@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 from collections.abc import Callable
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tableproof.plans.held import hold, shared_folder
+
+__all__ = ["WORD", "WS", "benchmark", "broadcast_if", "documents", "hold", "hold_fit", "let", "pages", "shared_folder", "ship", "word_count", "words"]
+
 #: Words are runs of anything but the ASCII white space of this class.
 WS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,23 +42,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder, which driver and executors share.
-
-    It is the one that spark.checkpoint.dir names; only a session that names none (a test) gets its own.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tableproof-"))
-    return context.getCheckpointDir()
-
-
-def hold(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read from there: lineage ends, lost executors cost nothing."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def hold_fit(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """hold(df) in tasks of about so many rows: small tables of many partitions make many small files otherwise."""
     held = hold(df)
