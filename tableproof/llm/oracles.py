@@ -74,3 +74,16 @@ left_ AS (SELECT p.doc_id, count(*) FILTER (bad.i IS NOT NULL) AS n_removed,
           LEFT JOIN bad ON p.doc_id = bad.doc_id AND p.i = bad.i GROUP BY p.doc_id)
 SELECT doc_id, text, n_removed FROM left_ WHERE n_removed = 0 OR regexp_matches(coalesce(text, ''), '[^\x20\x09-\x0D]')
 UNION ALL SELECT doc_id, text, 0 FROM documents WHERE text IS NULL"""
+
+NEAR_COPIES = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 2 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) ELSE ws END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+link AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(node, top) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.top FROM reach r JOIN edge e ON e.a = r.node),
+comp AS (SELECT node AS doc_id, min(top) AS component_id FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN comp USING (doc_id) LEFT JOIN n USING (doc_id)"""

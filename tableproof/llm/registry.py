@@ -80,4 +80,5 @@ ORACLES: dict[str, str] = {
     "op3_url_vocabulary": oracles.url_vocabulary(),
     "op6_host_rules": oracles.HOST_RULES,
     "op8_line_spread": oracles.LINE_SPREAD,
+    "op10_min_max": oracles.NEAR_COPIES,
 }
