@@ -5,10 +5,12 @@ hash evaluations a signature of given length takes; matches of the minimum and o
 Jaccard similarity and (nearly) uncorrelated. Bands of the signature propose candidates, the full sets decide.
 
 Documents with equal sets form one class (its smallest id stands for it), so copies cost nothing further. In each
-bucket the members are compared with one hub, not with each other: whatever links to the hub is connected. A few bands
-connect most of a group; then members of a bucket that are still in different components are compared with hubs of all
-bands, and at last pair by pair, until no bucket holds a pair that was not compared or is not connected; so no group is
-expanded into all pairs and no candidate lost.
+bucket of a few bands the members are compared with one hub, not with each other: whatever links to the hub is
+connected. What is left are pairs of different components that share a bucket. They are settled by their components'
+centres: one minus the similarity is a metric, so if the centres are further apart than the two radii and the
+threshold, no member of one links with a member of the other. Only where that bound leaves it open are members
+compared, those whose own distances to their centres allow a link. So no group is expanded into all pairs, and no pair
+that shares a bucket is left undecided.
 
 Nulls: a null text is empty; empty texts have no shingles and link with nothing. A null id gets no component and is
 kept. Rows that share an id count as linked. An empty table gives an empty result.
@@ -42,12 +44,8 @@ class NearDupRules:
     bands: int = 40
     #: Permutations of a band; each gives two of its values.
     permutations: int = 3
-    #: Bands whose hubs connect groups before those of all bands.
+    #: Bands whose hubs connect groups before what is left is settled by components' centres.
     first_bands: int = 4
-    #: Rounds of further hubs before the rest is compared pair by pair, and how many pairs that may be at once
-    #: before another round is worth it.
-    hub_rounds: int = 6
-    pairs_at_once: int = 2_000_000
     #: Up to so many ids (8 bytes each) are broadcast to pick texts; more are joined by shuffle.
     broadcast_ids: int = 500_000
 
@@ -137,7 +135,7 @@ def band_keys(hashes: np.ndarray, factors: np.ndarray, rules: NearDupRules) -> n
     return keys.view(np.int64)
 
 
-def portions(batch: pa.RecordBatch, column: str, chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def portions(batch: pa.RecordBatch, column: str, chars: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about so many bytes of text (or one longer text)."""
     part = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // chars
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(part)]
@@ -170,28 +168,26 @@ def signatures(docs: DataFrame, rules: NearDupRules, id_column: str, text_column
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, rules: NearDupRules) -> DataFrame:
-    """a, b, linked for each pair (a, b): compared on the full sets of texts (id, text)."""
+    """a, b, linked, distance (1 - similarity) for each pair (a, b): compared on the full sets of texts (id, text)."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in portions(whole, "tb")):
             both = {}
             for side in ("ta", "tb"):
                 encoded = pc.dictionary_encode(batch.column(side))  # a hub's text comes once for each of its pairs
-                sets = list(shingle_sets(encoded.dictionary, rules.width))
-                both[side] = (sets, encoded.indices.to_pylist())
-            linked = []
+                both[side] = (list(shingle_sets(encoded.dictionary, rules.width)), encoded.indices.to_pylist())
+            linked, distance = [], []
             for i, j in zip(both["ta"][1], both["tb"][1], strict=True):
                 x, y = both["ta"][0][i], both["tb"][0][j]
-                if 100 * min(len(x), len(y)) < rules.percent * max(len(x), len(y)):
-                    linked.append(False)
-                    continue
                 common = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * common >= rules.percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+                union = len(x) + len(y) - common
+                linked.append(100 * common >= rules.percent * union)
+                distance.append(1.0 - common / max(union, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(distance, pa.float64())], names=["a", "b", "linked", "distance"])
 
     left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     rows = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return rows.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long, linked boolean")
+    return rows.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long, linked boolean, distance double")
 
 
 def _fits(x: str, y: str, rules: NearDupRules):
@@ -203,41 +199,40 @@ def class_components(classes: DataFrame, docs: DataFrame, rules: NearDupRules, i
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     members = classes.select(F.col("rep").alias("id"), "n", F.posexplode("keys").alias("band", "key"))
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("id", "n")).alias("hub")).where(F.col("members") > 1)
-    # buckets of one class can't propose anything; the others are few and held for the rounds that follow
+    # buckets of one class can't propose anything; the others are few and held for what follows
     crowded = hold_fit(members.join(sizes, "key").select("key", "band", "id", "n", F.col("hub.id").alias("id2"), F.col("hub.n").alias("n2")))
     pairs = crowded.where((F.col("band") < rules.first_bands) & (F.col("id") != F.col("id2")) & _fits("n", "n2", rules)).select(F.col("id2").alias("a"), F.col("id").alias("b")).distinct()
-    compared = hold_fit(_verify(pairs, texts, rules))
-    found = hold_fit(components(compared.where("linked")))
-    for turn in range(rules.hub_rounds + 1):
-        placed = crowded.select("key", "band", "id", "n").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
-        mixed = parts.groupBy("key").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).cast("long").alias("open"), F.count(F.lit(1)).alias("parts")).where(F.col("parts") > 1)
-        open_pairs = mixed.agg(F.coalesce(F.sum("open"), F.lit(0)).alias("n")).first()["n"]
-        if not open_pairs:
-            break
-        placed = hold_fit(placed.join(mixed.select("key"), "key", "left_semi"))
-        direct = turn == rules.hub_rounds or (turn and open_pairs <= rules.pairs_at_once)
-        if direct:
-            candidate = _open_pairs(placed, classes, rules)
-        else:
-            order = F.struct(F.when(F.lit(turn) == 0, F.col("id")).otherwise(F.xxhash64("id", F.lit(turn))).alias("h"), F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-            hubs = placed.groupBy("key").agg(F.min(order).alias("hub")).select("key", "hub.id2", "hub.n2", "hub.component2")
-            candidate = placed.join(hubs, "key").where((F.col("component") != F.col("component2")) & _fits("n", "n2", rules)).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-        fresh = candidate.join(compared.select("a", "b"), ["a", "b"], "left_anti")
-        compared = hold_fit(compared.unionByName(_verify(fresh, texts, rules)))
-        found = hold_fit(components(compared.where("linked")))
-        if direct:
-            break
-    return found
-
-
-def _open_pairs(placed: DataFrame, classes: DataFrame, rules: NearDupRules) -> DataFrame:
-    """a, b: each pair of classes of different components that share a bucket, once: in the first band they share."""
-    keyed = hold_fit(placed.join(classes.select(F.col("rep").alias("id"), "keys"), "id"))
-    other = keyed.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("component2"), F.col("keys").alias("keys2"))
-    first = F.array_position(F.zip_with("keys", "keys2", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1
-    pairs = keyed.join(other, (keyed["key"] == other["key"]) & (F.col("id") < F.col("id2")) & (F.col("component") != F.col("component2")) & _fits("n", "n2", rules) & first)
-    return pairs.select(F.col("id").alias("a"), F.col("id2").alias("b"))
+    linked = hold_fit(_verify(pairs, texts, rules).where("linked").select("a", "b"))
+    found = hold_fit(components(linked))
+    more = _open_links(crowded.select("key", "id", "n"), found, classes.select("rep", "n"), texts, rules)
+    return hold_fit(components(linked.unionByName(more)))
+
+
+def _open_links(crowded: DataFrame, found: DataFrame, sizes: DataFrame, texts: DataFrame, rules: NearDupRules) -> DataFrame:
+    """a, b: links between classes of different components that share a bucket, or between their components' centres."""
+    reach = 1 - rules.percent / 100 + 1e-9
+    spokes = found.where(F.col("node") != F.col("component")).select(F.col("component").alias("a"), F.col("node").alias("b"))
+    spokes = hold_fit(_verify(spokes, texts, rules).select(F.col("a").alias("component"), F.col("b").alias("id"), "distance"))
+    placed = crowded.join(spokes, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"), F.coalesce("distance", F.lit(0.0)).alias("distance"))
+    placed = hold_fit(placed)
+    # components, their radius, members and their centre's size, by the component's centre
+    radii = spokes.groupBy("component").agg(F.max("distance").alias("radius"), F.count(F.lit(1)).alias("others"))
+    about = hold_fit(placed.select("component").distinct().join(radii, "component", "left").join(sizes.withColumnRenamed("rep", "component"), "component").select("component", F.coalesce("radius", F.lit(0.0)).alias("radius"), F.coalesce("others", F.lit(0)).alias("others"), F.col("n").alias("size")))
+    parts = hold_fit(placed.select("key", "component").distinct().join(about, "component"))
+    second = parts.select("key", *[F.col(c).alias(c + "2") for c in about.columns])
+    # sets of different sizes are at least so far apart
+    apart = 1 - F.least("size", "size2") / F.greatest("size", "size2")
+    near = (F.col("component") < F.col("component2")) & (apart - F.col("radius") - F.col("radius2") <= reach)
+    met = parts.join(second, "key").where(near).select(F.col("component").alias("a"), F.col("component2").alias("b")).distinct()
+    centres = hold_fit(_verify(met, texts, rules))
+    left, right = about.select(F.col("component").alias("a"), F.col("radius").alias("ra"), F.col("others").alias("ma")), about.select(F.col("component").alias("b"), F.col("radius").alias("rb"), F.col("others").alias("mb"))
+    unsettled = centres.where(~F.col("linked")).join(left, "a").join(right, "b").where(F.col("distance") - F.col("ra") - F.col("rb") <= reach).where((F.col("ma") > 0) | (F.col("mb") > 0))
+    # the smaller component's members look for partners in the larger one's part of their buckets
+    turned = unsettled.select(F.when(F.col("ma") >= F.col("mb"), F.col("a")).otherwise(F.col("b")).alias("large"), F.when(F.col("ma") >= F.col("mb"), F.col("b")).otherwise(F.col("a")).alias("component"), F.col("distance").alias("between"))
+    seekers = hold_fit(placed.join(turned, "component").select("key", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("large").alias("component"), (F.col("between") - F.col("distance") - reach).alias("least")))
+    pairs = placed.join(seekers, ["key", "component"]).where((F.col("distance") >= F.col("least")) & _fits("n", "n2", rules)).select(F.col("id").alias("a"), "b").distinct()
+    deep = _verify(pairs, texts, rules)
+    return centres.where("linked").select("a", "b").unionByName(deep.where("linked").select("a", "b"))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, rules: NearDupRules) -> DataFrame:
@@ -245,7 +240,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, rules: NearDupRules) -> DataFram
     pairs = hold_fit(pairs)
     needed = hold_fit(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     wanted = hold_fit(texts.join(broadcast_if(needed, rules.broadcast_ids), "id", "left_semi").dropDuplicates(["id"]), 20_000)
-    return similar_pairs(pairs, wanted, rules).select("a", "b", "linked")
+    return similar_pairs(pairs, wanted, rules)
 
 
 def near_duplicates(docs: DataFrame, rules: NearDupRules = NearDupRules(), *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

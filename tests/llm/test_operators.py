@@ -350,11 +350,11 @@ def test_near_duplicates(spark, width):
         assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (len(sets[i]), root(i), root(i) == i)
 
 
-def test_near_duplicates_further_hubs(spark):
-    """A chain in which most pairs are below the threshold: hubs alone don't connect it."""
+def test_near_duplicates_open_pairs(spark):
+    """A chain in which most pairs are below the threshold: hubs alone don't connect it, nor do centres."""
     words = [f"w{i}" for i in range(400)]
     rows = [(i, " ".join(words[i * 5 : i * 5 + 100])) for i in range(20)]
-    for rules in (near_dedup.NearDupRules(width=2), near_dedup.NearDupRules(width=2, pairs_at_once=0, hub_rounds=2)):
+    for rules in (near_dedup.NearDupRules(width=2), near_dedup.NearDupRules(width=2, first_bands=1)):
         got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), rules).collect()
         assert {r["component_id"] for r in got} == {0}
 
