@@ -270,7 +270,7 @@ def shares(texts: pa.Array, model: Field, words_at_once: int = 200_000) -> tuple
     return out / np.maximum(lettered, 1)[:, None], lettered
 
 
-def portions(texts: pd.Series, chars: int = 2_000_000) -> Iterator[pa.Array]:
+def portions(texts: pd.Series, chars: int = 1_000_000) -> Iterator[pa.Array]:
     """The texts in turn, in arrays of about so many characters (or one longer text)."""
     sizes = texts.str.len().fillna(0).to_numpy(dtype=np.int64)
     part = np.cumsum(sizes) // chars

@@ -140,7 +140,7 @@ def messy(spark):
         spark,
         day=[f"{i % 28 + 1:02d}/01/2024" for i in range(n)],
         city=["Paris", "paris ", "Lyon", "LYON"] * 10,
-        price=[f"{i},50 €" for i in range(n)],
+        price=[f"€ {i},50" for i in range(n)],
         note=[f"note {i}" if i % 2 else "--" for i in range(n)],
         name=[f"{c} shop" for c in "abcdefghijklmnopqrst"] * 2,
     )
