@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tableproof.plans.held import hold, shared_folder
 
-__all__ = ["WORD", "WS", "benchmark", "broadcast_if", "documents", "hold", "hold_fit", "let", "pages", "shared_folder", "ship", "word_count", "words"]
+__all__ = ["WORD", "WS", "batches_of", "benchmark", "broadcast_if", "documents", "hold", "hold_fit", "let", "pages", "shared_folder", "ship", "word_count", "words"]
 
 #: Words are runs of anything but the ASCII white space of this class.
 WS = r"[\x20\x09-\x0D]+"
@@ -49,6 +50,20 @@ def hold_fit(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return held.coalesce(tasks) if tasks < held._jdf.rdd().getNumPartitions() else held
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What runs inside goes to Python in batches of at most so many rows, as suits rows of whole texts."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
 def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows (they are counted); call it on held, narrow tables."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableproof.llm.common import broadcast_if, hold, hold_fit, ship
+from tableproof.llm.common import batches_of, broadcast_if, hold, hold_fit, ship
 from tableproof.llm.components import components
 
 ship(__name__)
@@ -46,6 +46,8 @@ class NearDupRules:
     permutations: int = 3
     #: Bands whose hubs connect groups before what is left is settled by components' centres.
     first_bands: int = 4
+    #: Rows that go to Python at once.
+    batch_rows: int = 1_000
     #: Up to so many ids (8 bytes each) are broadcast to pick texts; more are joined by shuffle.
     broadcast_ids: int = 500_000
 
@@ -245,6 +247,11 @@ def _verify(pairs: DataFrame, texts: DataFrame, rules: NearDupRules) -> DataFram
 
 def near_duplicates(docs: DataFrame, rules: NearDupRules = NearDupRules(), *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
+    with batches_of(docs.sparkSession, rules.batch_rows):  # all that runs Python runs in here
+        return _near_duplicates(docs, rules, id_column, text_column)
+
+
+def _near_duplicates(docs: DataFrame, rules: NearDupRules, id_column: str, text_column: str) -> DataFrame:
     signed = hold(signatures(docs, rules, id_column, text_column))
     full = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = full.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "keys")).alias("first"), F.count(F.lit(1)).alias("rows"))
