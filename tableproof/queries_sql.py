@@ -168,7 +168,7 @@ ORACLES: dict[str, str] = {
     "profile_distinct": profile(DIRTY_ORDERS, "dirty_orders", ORDER_COLUMNS, "SELECT col_name, n_distinct FROM prof"),
     "profile_orders": profile(DIRTY_ORDERS, "dirty_orders", ORDER_COLUMNS, f"SELECT {FIELDS} FROM prof"),
     "profile_events": profile(DIRTY_EVENTS, "dirty_events", EVENT_COLUMNS, f"SELECT {FIELDS} FROM prof"),
-    "infer_bool_int_shares": f"SELECT * FROM ({profile(DIRTY_ORDERS, 'dirty_orders', ORDER_COLUMNS, 'SELECT col_name, n AS sampled, bools, ints FROM prof')}) UNION ALL SELECT * FROM ({profile(DIRTY_EVENTS, 'dirty_events', EVENT_COLUMNS, 'SELECT col_name, n AS sampled, bools, ints FROM prof')})",
+    "infer_bool_int_shares": f"SELECT * FROM ({profile(DIRTY_ORDERS, 'dirty_orders', ORDER_COLUMNS, 'SELECT col_name, CAST(n AS BIGINT) AS sampled, CAST(bools AS BIGINT) AS bools, CAST(ints AS BIGINT) AS ints FROM prof')}) UNION ALL SELECT * FROM ({profile(DIRTY_EVENTS, 'dirty_events', EVENT_COLUMNS, 'SELECT col_name, CAST(n AS BIGINT) AS sampled, CAST(bools AS BIGINT) AS bools, CAST(ints AS BIGINT) AS ints FROM prof')})",
     "leading_zero_guard": profile(DIRTY_ORDERS, "dirty_orders", ["code"], "SELECT col_name, dtype, flags, confidence FROM prof"),
     "locale_vote": profile(EXTRA, "orders_extra", EXTRA_COLUMNS, f"SELECT {FIELDS} FROM prof"),
     "first_samples": f"WITH {DIRTY_ORDERS}, {long('dirty_orders', ORDER_COLUMNS)}, f AS (SELECT col_name, trim(raw) AS token, min(row_index) AS fr FROM cells WHERE NOT {MISSING} GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY col_name ORDER BY fr) AS rank FROM f) SELECT col_name, rank, token FROM r WHERE rank <= 5",
