@@ -392,4 +392,4 @@ def apply_summary(spark, sf):
 @query
 def analysis_warnings(spark, sf):
     found = analyse(fx.dirty_part(spark, sf), Options(dup_keys=("name",), today=AS_OF))
-    return found.warnings.select("key", F.coalesce(F.col("params")["col"], F.col("params")["cols"]).alias("col_name"), F.col("params")["winner"].alias("winner"), F.col("params")["count"].cast("long").alias("n")).where("key <> 'warn_dup_truncated'")
+    return found.warnings.select("key", F.coalesce(F.col("params")["col"], F.col("params")["cols"]).alias("col_name"), F.col("params")["winner"].alias("winner"), F.coalesce(F.col("params")["count"].cast("long"), F.lit(0)).alias("n")).where("key <> 'warn_dup_truncated'")

@@ -220,4 +220,5 @@ ORACLES: dict[str, str] = {
     "ledger_ordered": f"WITH {CLEANING} SELECT row_number() OVER (ORDER BY row_index, col_name, kind, rule, old_value, new_value) - 1 AS place, row_index AS cell_row, col_name, kind, new_value FROM led",
     "apply_mismatches": f"WITH {CLEANING}, w AS (SELECT l.col_name, l.row_index, CASE WHEN l.row_index % 7 = 0 THEN 'else' ELSE old_value END AS b, raw FROM led l JOIN allc USING (col_name, row_index)), x AS (SELECT col_name, row_index, CASE WHEN lower(trim(b)) IN {NULLS} THEN '' ELSE b END AS expected, CASE WHEN lower(trim(raw)) IN {NULLS} THEN '' ELSE raw END AS met FROM w) SELECT * FROM x WHERE expected <> met",
     "apply_summary": f"WITH {CLEANING} SELECT kind AS measure, count(*) AS n FROM dec WHERE status = 'accepted' GROUP BY kind UNION ALL SELECT 'rows_before', count(*) FROM orders UNION ALL SELECT 'rows_after', count(*) FROM orders",
+    "analysis_warnings": f"SELECT * FROM ({REC}{DIRTY_PART}, {long('dirty_part', ['brand', 'ptype'])}, {SHOWN}, {CLUSTER} SELECT DISTINCT 'warn_cat_merged' AS key, col_name, winner, 0 AS n FROM canon WHERE members > 1) UNION ALL SELECT * FROM ({REC}{GROUPS.replace('sim >= 70', 'sim >= 85')} SELECT 'warn_dup_groups' AS key, 'name' AS col_name, CAST(NULL AS VARCHAR) AS winner, count(DISTINCT gid) AS n FROM grp HAVING count(*) > 0)",
 }
