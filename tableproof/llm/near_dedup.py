@@ -40,10 +40,13 @@ class NearDupRules:
     width: int = 5
     #: Two documents link if 100 * intersection >= percent * union.
     percent: int = 80
-    #: A pair of similarity 0.8 shares no band with probability (1 - 0.8 ** 6) ** 40, about 5 in a million.
-    bands: int = 40
+    #: A pair of similarity 0.8 shares no band with probability (1 - 0.8 ** 8) ** 60, about 1.6 in 100,000, while one
+    #: of similarity 0.4, such as two texts around one common passage, shares one with about 4 in 100.
+    bands: int = 60
     #: Permutations of a band; each gives two of its values.
-    permutations: int = 3
+    permutations: int = 4
+    #: Sets up to this size have their own exact keys as well: links between them differ by one shingle on each side.
+    small: int = 10
     #: Bands whose hubs connect groups before what is left is settled by components' centres.
     first_bands: int = 4
     #: Rows that go to Python at once.
@@ -137,6 +140,13 @@ def band_keys(hashes: np.ndarray, factors: np.ndarray, rules: NearDupRules) -> n
     return keys.view(np.int64)
 
 
+def small_keys(hashes: np.ndarray) -> np.ndarray:
+    """Keys of a small set and of the set without each of its members: similar small sets share one of them."""
+    scattered = _scramble(hashes ^ MIX)
+    whole = scattered.sum(dtype=np.uint64)
+    return _scramble(np.concatenate([whole[None], whole - scattered]) ^ np.uint64(0x5DEECE66D)).view(np.int64)
+
+
 def portions(batch: pa.RecordBatch, column: str, chars: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about so many bytes of text (or one longer text)."""
     part = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // chars
@@ -146,7 +156,7 @@ def portions(batch: pa.RecordBatch, column: str, chars: int = 1_000_000) -> Iter
 
 
 def signatures(docs: DataFrame, rules: NearDupRules, id_column: str, text_column: str) -> DataFrame:
-    """doc_id, n (set size), f1, f2 (fingerprint of the set), keys (one a band) for every row."""
+    """doc_id, n (set size), f1, f2 (fingerprint of the set), keys (one a band, more for small sets) for every row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = _factors(rules)
@@ -157,7 +167,8 @@ def signatures(docs: DataFrame, rules: NearDupRules, id_column: str, text_column
                 both = np.array([hashes.sum(dtype=np.uint64), _scramble(hashes ^ MIX).sum(dtype=np.uint64)], np.uint64).view(np.int64)
                 f1.append(both[0])
                 f2.append(both[1])
-                keys.append(band_keys(hashes, factors, rules) if len(hashes) else np.zeros(0, np.int64))
+                bands = band_keys(hashes, factors, rules) if len(hashes) else np.zeros(0, np.int64)
+                keys.append(np.concatenate([bands, small_keys(hashes)]) if 0 < len(hashes) <= rules.small else bands)
             lengths = np.cumsum([0, *(len(k) for k in keys)]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(

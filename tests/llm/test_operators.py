@@ -359,6 +359,24 @@ def test_near_duplicates_open_pairs(spark):
         assert {r["component_id"] for r in got} == {0}
 
 
+def test_near_duplicates_of_few_words(spark):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 12))) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(rows, near_dedup.NearDupRules(width=1)).collect()}
+    sets, parent = [set(t.split()) for t in texts], list(range(300))
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    for a in range(300):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    assert got == {i: root(i) for i in range(300)}
+
+
 def test_near_duplicates_odd(odd, none):
     got = {r["doc_id"]: r for r in near_dedup.near_duplicates(odd).collect()}
     assert got[5]["component_id"] == got[6]["component_id"] == got[10]["component_id"] == 4 and got[None]["kept"] and got[1]["n_shingles"] == 0
