@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableproof.llm import crf_langid, decontaminate, line_spread, mixing, near_dedup
-from tableproof.llm.common import benchmark, documents, shared_folder
+from tableproof.llm.common import benchmark, documents, free_name, shared_folder
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,27 +23,27 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that many sites share, but for each line's first document."""
-    cleaned = line_spread.remove_boilerplate(docs)
+    removed = free_name("n_removed", docs.columns)
+    cleaned = line_spread.remove_boilerplate(docs, count_column=removed)
     if "n_chars" in docs.columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        cleaned = cleaned.withColumn("n_chars", F.when(F.col("_n_removed") > 0, length).otherwise(F.col("n_chars")))
-    return cleaned.select(*docs.columns)
+        cleaned = cleaned.withColumn("n_chars", F.when(F.col(removed) > 0, length).otherwise(F.col("n_chars")))
+    return cleaned.drop(removed)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id."""
-    return near_dedup.one_of_each(docs).select(*docs.columns)
+    return near_dedup.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, in its own or in other numbers and names."""
-    return decontaminate.clean(docs, benchmark(spark, sf_dir)).select(*docs.columns)
+    return decontaminate.clean(docs, benchmark(spark, sf_dir))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes words of, with taken and copies."""
-    mixed = mixing.mixed_documents(docs)
-    return mixed.select(*docs.columns, F.col("_taken").alias("taken"), F.col("_copies").alias("copies"))
+    return mixing.mixed_documents(docs, added=(free_name("taken", docs.columns), free_name("copies", docs.columns)))
 
 
 STAGES = [

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tableproof.plans.held import hold, shared_folder
 
-__all__ = ["WORD", "WS", "batches_of", "benchmark", "broadcast_if", "documents", "hold", "hold_fit", "let", "pages", "shared_folder", "ship", "word_count", "words"]
+__all__ = ["WORD", "WS", "batches_of", "benchmark", "broadcast_if", "documents", "free_name", "hold", "hold_fit", "let", "pages", "shared_folder", "ship", "word_count", "words"]
 
 #: Words are runs of anything but the ASCII white space of this class.
 WS = r"[\x20\x09-\x0D]+"
@@ -69,6 +69,14 @@ def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """name, or name with as many underscores as make it none of columns (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

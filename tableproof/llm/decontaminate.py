@@ -139,6 +139,7 @@ def judge(docs: DataFrame, items: DataFrame, rules: TemplateRules = TemplateRule
 def clean(docs: DataFrame, items: DataFrame, rules: TemplateRules = TemplateRules(), *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of docs that hold no item."""
     found = contaminated(docs, items, rules, id_column=id_column, text_column=text_column)
-    gone = hold(found.select(F.col("id").alias("_gone_id"), F.col("version").alias("_gone_version")).distinct())
-    same = docs[id_column].eqNullSafe(F.col("_gone_id")) & (F.xxhash64(docs[text_column]) == F.col("_gone_version"))
-    return docs.join(broadcast_if(gone, 200_000), same, "left_anti")
+    gone = hold(found.select("id", "version").distinct())
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_column).alias("rid"), F.xxhash64(F.col(text_column)).alias("rv"))
+    kept = rows.join(broadcast_if(gone, 200_000), F.col("rid").eqNullSafe(F.col("id")) & (F.col("rv") == F.col("version")), "left_anti")
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

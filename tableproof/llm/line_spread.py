@@ -60,8 +60,8 @@ def boilerplate(lines: DataFrame, limits: SpreadLimits = SpreadLimits()) -> Data
     return sure.unionByName(exact.select("key", "first_id"))
 
 
-def remove_boilerplate(docs: DataFrame, limits: SpreadLimits = SpreadLimits(), *, id_column: str = "doc_id", text_column: str = "text", site_column: str = "source", drop_empty: bool = True) -> DataFrame:
-    """docs with their columns; the text without boilerplate lines, and n_removed (lines) beside it as column "_n_removed"."""
+def remove_boilerplate(docs: DataFrame, limits: SpreadLimits = SpreadLimits(), *, id_column: str = "doc_id", text_column: str = "text", site_column: str = "source", drop_empty: bool = True, count_column: str = "_n_removed") -> DataFrame:
+    """docs with their columns, the text without boilerplate lines, and the number of lines removed as count_column."""
     lines = hold(lines_of(docs, id_column, text_column, site_column))  # three passes read it; the texts are split once
     common = boilerplate(lines, limits)
     gone = lines.join(common, "key").where(~F.col("id").eqNullSafe(F.col("first_id")))
@@ -79,4 +79,4 @@ def remove_boilerplate(docs: DataFrame, limits: SpreadLimits = SpreadLimits(), *
     if drop_empty:
         out = out.where((F.col("n") <= 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
     columns = [F.col("kept").alias(c) if c == text_column else F.col("row")[c].alias(c) for c in docs.columns]
-    return out.select(*columns, F.greatest(F.col("n"), F.lit(0)).cast("long").alias("_n_removed"))
+    return out.select(*columns, F.greatest(F.col("n"), F.lit(0)).cast("long").alias(count_column))

@@ -175,10 +175,10 @@ def mix(docs: DataFrame, spec: MixSpec = MixSpec(), *, id_column: str = "doc_id"
     return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", copies.alias("copies"))
 
 
-def mixed_documents(docs: DataFrame, spec: MixSpec = MixSpec(), *, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
-    """The rows of docs that the mix takes words of, with columns _taken and _copies beside their own."""
+def mixed_documents(docs: DataFrame, spec: MixSpec = MixSpec(), *, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", added: tuple[str, str] = ("_taken", "_copies")) -> DataFrame:
+    """The rows of docs that the mix takes words of, with words taken and whole copies as the added columns."""
     mixed = mix_units(hold(units_of(docs, id_column, text_column, source_column)), spec).where(F.col("taken") > 0)
     chosen = mixed.select("id", "version", "taken", F.floor(F.col("taken") / F.col("size")).cast("long").alias("copies"))
     rows = docs.select(F.struct("*").alias("row"), F.col(id_column).alias("rid"), F.xxhash64(F.col(text_column)).alias("rv"))
     joined = rows.join(chosen, F.col("rid").eqNullSafe(F.col("id")) & (F.col("rv") == F.col("version")))
-    return joined.select(*[F.col("row")[c].alias(c) for c in docs.columns], F.col("taken").alias("_taken"), F.col("copies").alias("_copies"))
+    return joined.select(*[F.col("row")[c].alias(c) for c in docs.columns], F.col("taken").alias(added[0]), F.col("copies").alias(added[1]))

@@ -25,3 +25,17 @@ def test_pipeline_runs(spark):
 def test_stages_named():
     assert [n for n, _ in pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "decontamination", "source_mix"]
     assert pipeline.ORACLE_SQL is None
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="needs the test tables")
+@pytest.mark.parametrize("rows", [0, 1])
+def test_stages_take_odd_tables(spark, rows):
+    """Nulls in every column, repeated rows, no rows, and columns named as the stages' own."""
+    extra = ["row", "id", "version", "key", "rid", "rv", "_n_removed", "n_removed", "taken", "_taken", "copies", "n", "h", "w"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra)
+    odd = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, "the house is here", None, None, 17), (3, "the house is here", "en", "a", 17), (3, "the house is here", "en", "a", 17), (4, "la maison est ici", "fr", "b", 17), (5, "x " * 50_000, None, "b", 100_000)]
+    docs = spark.createDataFrame([(*r, *["v"] * len(extra)) for r in odd * rows], schema)
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.columns[: len(docs.columns)] == docs.columns, name
+        assert out.count() <= docs.count(), name
