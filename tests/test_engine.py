@@ -164,7 +164,7 @@ def test_accepted_changes_apply_once(spark):
     assert [r["row_index"] for r in rows] == list(range(20))
     assert rows[2]["day"] == "2024-01-03" and rows[3]["price"] == 3.5 and rows[1]["city"] in ("Paris", "paris")
     assert dict(done.df.dtypes)["price"] == "double" and done.mismatches.count() == 0
-    clean = done.df.withColumn("price", F.format_string("%.2f", "price"))
+    clean = done.df.withColumn("price", F.format_string("%.2f", "price")).checkpoint()
     again = analyse(clean)
     assert again.ledger.where("kind in ('text_norm', 'cat_merge', 'coherence_fix')").count() == 0
 
