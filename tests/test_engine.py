@@ -157,7 +157,7 @@ def test_nothing_accepted_changes_nothing(spark):
 def test_accepted_changes_apply_once(spark):
     df = messy(spark)
     found = analyse(df, Options(dup_keys=("name",)))
-    led = ledger.set_status(found.ledger, F.lit(True), "accepted")
+    led = ledger.set_status(found.ledger, F.lit(True), "accepted").checkpoint()
     done = apply.apply_changes(df, led, found.profile_rows())
     assert done.rows_after == done.rows_before - done.applied_by_kind["dedup"] == 20
     rows = done.df.orderBy("row_index").collect()
