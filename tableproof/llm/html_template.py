@@ -5,11 +5,13 @@ pages of a host, tokens - containers and fixed texts at their container - that o
 an occurrence vector; the vectors are aggregated as a page count and the xor of hashes of (page, count), so no host is
 ever in one task. Tokens with one vector form an equivalence class; classes that are large and frequent enough and whose
 tokens' parents are in such classes too nest into the host's template. What the template repeats (fixed texts, link
-lists) goes; its remaining slots are the page's text, within the article container where the page has one, and without
-containers whose element, role, class or id marks them as navigation, advert, form, comment and the like.
+lists) goes, inside article containers too; its remaining slots are the page's text, without containers whose element,
+role, class or id marks them as navigation, advert, form, comment and the like. Marks of the article are added evidence:
+texts in an article need more support to go, and on a page with an article, blocks outside it stay only in slots of the
+template. Hosts without a template have the marks alone.
 
 Whole pages are read; nulls count as empty. Pages without "://" in their url share one host. Repeated rows are each
-extracted (and count twice for the template); an empty table gives an empty result.
+extracted; pages of one content count once for the template. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -48,6 +50,8 @@ class TemplateSpec:
     #: A host with fewer pages has no template; tokens of a class stand on so large a share of the host's pages.
     min_pages: int = 5
     support: float = 0.5
+    #: The same for fixed texts and link lists inside an article.
+    article_support: float = 0.8
     #: A class of fewer tokens is left out.
     min_tokens: int = 2
     #: A slot with so large a share of its words in links is a list of links.
@@ -59,8 +63,11 @@ class TemplateSpec:
 @dataclass
 class Block:
     path: str
+    #: Serial number of each container on the path.
+    opened: tuple[int, ...]
     bad: bool
-    article: bool
+    #: Length of the path up to the innermost article container; 0 outside.
+    article: int
     words: int
     linked: int
     text: str
@@ -69,18 +76,18 @@ class Block:
 def blocks(html: str) -> list[Block]:
     """The page's blocks of text in order."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # element, path, bad, article
+    stack: list[tuple[str, str, tuple[int, ...], bool, int]] = []  # element, path, opened, bad, article
     pieces: list[str] = []
-    link, linked, at = 0, 0, 0
+    link, linked, at, serial = 0, 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(unescape("".join(pieces)).split()) if pieces else ""
         pieces.clear()
         if text:
-            _, path, bad, article = stack[-1] if stack else ("", "", False, False)
+            _, path, opened, bad, article = stack[-1] if stack else ("", "", (), False, 0)
             words = text.count(" ") + 1
-            out.append(Block(path, bad, article, words, min(linked, words), text))
+            out.append(Block(path, opened, bad, article, words, min(linked, words), text))
         linked = 0
 
     while at < len(html):
@@ -120,9 +127,11 @@ def blocks(html: str) -> list[Block]:
             continue
         if name in VOID or (m[3] or "").rstrip().endswith("/"):
             continue
-        _, path, bad, article = stack[-1] if stack else ("", "", False, False)
-        label, marked, is_article = _marks(name, m[3] or "", article)
-        stack.append((name, f"{path}/{label}", bad or marked, article or is_article))
+        _, path, opened, bad, article = stack[-1] if stack else ("", "", (), False, 0)
+        label, marked, is_article = _marks(name, m[3] or "", article > 0)
+        serial += 1
+        opened = (*opened, serial)
+        stack.append((name, f"{path}/{label}", opened, bad or marked, len(opened) if is_article else article))
     flush()
     return out
 
@@ -148,80 +157,95 @@ def _mark(value: str) -> int:
     return n - (1 << 64) if n >= 1 << 63 else n
 
 
-def page_tokens(html: str | None) -> list[tuple[int, int, int, bool, int, int, int]]:
-    """token, path (its container), parent, whether it is a text, count, words, words in links: the page's tokens.
+def page_tokens(html: str | None) -> list[tuple[int, int, int, bool, bool, int, int, int]]:
+    """token, path (its container), parent, whether it is a text, whether in an article, count, words, words in links.
 
-    Texts marked as no article need no template to go, and the text of an article is never part of it.
+    Containers are counted as often as they are opened around text. Texts marked as no article need no template to go.
+    An article container is not in an article itself.
     """
     count: dict[tuple[str, str], list[int]] = {}
+    seen: dict[str, set[int]] = {}
     for b in blocks(html or ""):
         parts = b.path.split("/")
         for i in range(2, len(parts) + 1):
-            at = count.setdefault(("/".join(parts[:i]), ""), [0, 0, 0])
-            at[0] += i == len(parts)
-            at[1] += b.words if i == len(parts) else 0
-            at[2] += b.linked if i == len(parts) else 0
-        if not b.bad and not b.article:
-            at = count.setdefault((b.path, b.text), [0, 0, 0])
-            at[0] += 1
-    return [(_mark(f"{path}\x00{text}"), _mark(f"{path}\x00"), _mark(path.rpartition("/")[0] + "\x00"), text != "", *values) for (path, text), values in count.items()]
-
-
-def main_text(html: str | None, slots: set[int], texts: set[int]) -> str:
-    """The page's text without the host's link lists (slots) and fixed texts."""
+            path = "/".join(parts[:i])
+            at = count.setdefault((path, ""), [0, 0, 0, 0])
+            at[0] |= 0 < b.article < i - 1
+            seen.setdefault(path, set()).add(b.opened[i - 2])
+            at[1] = len(seen[path])
+            at[2] += b.words if i == len(parts) else 0
+            at[3] += b.linked if i == len(parts) else 0
+        if not b.bad:
+            at = count.setdefault((b.path, b.text), [0, 0, 0, 0])
+            at[0] |= b.article > 0
+            at[1] += 1
+    return [(_mark(f"{path}\x00{text}"), _mark(f"{path}\x00"), _mark(path.rpartition("/")[0] + "\x00"), text != "", bool(inner), *values) for (path, text), (inner, *values) in count.items()]
+
+
+def main_text(html: str | None, slots: set[int], texts: set[int], nested: set[int] = frozenset()) -> str:
+    """The page's text without the host's link lists (slots) and fixed texts; nested: containers of its template."""
     found = blocks(html or "")
     article = any(b.article and not b.bad for b in found)
     kept = []
     for b in found:
-        if b.bad or b.article != article:
+        if b.bad:
             continue
-        if not article and ((slots and _mark(f"{b.path}\x00") in slots) or (texts and _mark(f"{b.path}\x00{b.text}") in texts)):
+        path = _mark(f"{b.path}\x00") if slots or nested else 0
+        if article and not b.article and path not in nested:
+            continue
+        if path in slots or (texts and _mark(f"{b.path}\x00{b.text}") in texts):
             continue
         kept.append(b.text)
     return "\n".join(kept)
 
 
-def tokens_of(pages: DataFrame, id_column: str, html_column: str, host: Column) -> DataFrame:
-    """host, page and the page's tokens: a row each."""
+def tokens_of(pages: DataFrame, html_column: str, host: Column) -> DataFrame:
+    """host, page (hash of its content) and the page's tokens: a row each, once for pages of one content."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(h, p, *t) for h, p, html in zip(batch["host"], batch["page"], batch["html"], strict=True) for t in page_tokens(html)]
-            yield pd.DataFrame(rows, columns=["host", "page", "token", "path", "parent", "is_text", "n", "words", "linked"])
+            yield pd.DataFrame(rows, columns=["host", "page", "token", "path", "parent", "is_text", "inner", "n", "words", "linked"])
 
-    narrow = pages.select(host.alias("host"), F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("page"), F.col(html_column).cast("string").alias("html"))
-    return narrow.mapInPandas(read, "host string, page string, token long, path long, parent long, is_text boolean, n long, words long, linked long")
+    html = F.col(html_column).cast("string")
+    narrow = pages.select(host.alias("host"), F.xxhash64(html).alias("page"), html.alias("html"))
+    rows = narrow.mapInPandas(read, "host string, page long, token long, path long, parent long, is_text boolean, inner boolean, n long, words long, linked long")
+    return rows.dropDuplicates(["host", "page", "token"])
 
 
 def templates(tokens: DataFrame, spec: TemplateSpec) -> DataFrame:
-    """host, slots (containers that are lists of links) and texts (fixed ones) of each host's template."""
+    """host, slots (containers that are lists of links), texts (fixed ones) and nested (containers) of each template."""
     pages = tokens.groupBy("host", "page").agg(F.lit(1).alias("_")).groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= spec.min_pages)
-    vectors = tokens.groupBy("host", "token", "path", "parent", "is_text").agg(F.count(F.lit(1)).alias("on"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.sum("words").alias("words"), F.sum("linked").alias("linked"))
-    frequent = hold(vectors.join(pages, "host").where(F.col("on") >= spec.support * F.col("pages")))
+    vectors = tokens.groupBy("host", "token", "path", "parent", "is_text").agg(F.count(F.lit(1)).alias("on"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.sum("words").alias("words"), F.sum("linked").alias("linked"), F.bool_or("inner").alias("inner"))
+    # most texts are on one page only: they go before the join
+    repeated = vectors.where(F.col("on") >= spec.support * spec.min_pages)
+    frequent = hold(repeated.join(pages, "host").where(F.col("on") >= spec.support * F.col("pages")))
+    firm = ~F.col("inner") | (F.col("on") >= spec.article_support * F.col("pages"))
     classes = frequent.groupBy("host", "on", "vector").agg(F.count(F.lit(1)).alias("tokens")).where(F.col("tokens") >= spec.min_tokens)
     large = frequent.join(classes, ["host", "on", "vector"])
     # nesting: a token is in the template if its parent is in a class too (or it is a root)
     held = large.where(~F.col("is_text")).select("host", F.col("token").alias("parent")).distinct()
     roots = F.col("parent") == F.lit(_mark("\x00"))
     nested = large.where(~F.col("is_text") & ~roots).join(held, ["host", "parent"], "left_semi").unionByName(large.where(~F.col("is_text") & roots).select(large.columns))
-    inside = large.where("is_text").join(held.withColumnRenamed("parent", "path"), ["host", "path"], "left_semi")
-    # link lists have as many items as each page likes, so they need no class, only a frequent container
-    lists = frequent.where(~F.col("is_text") & (F.col("words") > 0) & (F.col("linked") >= spec.link_share * F.col("words"))).select("host", "token")
+    inside = large.where(F.col("is_text") & firm).join(held.withColumnRenamed("parent", "path"), ["host", "path"], "left_semi")
+    # a page may open as many link lists as it likes: outside articles they need no class, inside one their parent has one
+    linked = frequent.where(~F.col("is_text") & (F.col("words") > 0) & (F.col("linked") >= spec.link_share * F.col("words")))
+    lists = linked.where(~F.col("inner")).select("host", "token").unionByName(linked.where(F.col("inner") & firm).join(held, ["host", "parent"], "left_semi").select("host", "token"))
     slots = lists.groupBy("host").agg(F.collect_set("token").alias("slots"))
     texts = inside.groupBy("host").agg(F.collect_set("token").alias("texts"))
-    sizes = nested.groupBy("host").agg(F.count(F.lit(1)).alias("template_tokens"))
-    return slots.join(texts, "host", "full").join(sizes, "host", "full").select("host", "slots", "texts", "template_tokens")
+    sizes = nested.groupBy("host").agg(F.collect_set("token").alias("nested"), F.count(F.lit(1)).alias("template_tokens"))
+    return slots.join(texts, "host", "full").join(sizes, "host", "full").select("host", "slots", "texts", "nested", "template_tokens")
 
 
 def extract(pages: DataFrame, spec: TemplateSpec = TemplateSpec(), *, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """page_id, url, text, n_chars, template_tokens for every row of pages."""
     host = host_of(F.col(url_column).cast("string"))
-    found = hold(templates(tokens_of(pages, id_column, html_column, host), spec))
+    found = hold(templates(tokens_of(pages, html_column, host), spec))
 
     @F.pandas_udf("string")
-    def text_of(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for html, slots, texts in batches:
-            yield pd.Series([main_text(h, set(s) if s is not None else set(), set(t) if t is not None else set()) for h, s, t in zip(html, slots, texts, strict=True)], dtype=object)
+    def text_of(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for html, *sets in batches:
+            yield pd.Series([main_text(h, *(set(s) if s is not None else set() for s in of)) for h, *of in zip(html, *sets, strict=True)], dtype=object)
 
     rows = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).cast("string").alias("url"), F.col(html_column).cast("string").alias("html"), host.alias("host"))
     if found.count() <= spec.broadcast_hosts:
@@ -229,5 +253,5 @@ def extract(pages: DataFrame, spec: TemplateSpec = TemplateSpec(), *, id_column:
     else:
         salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
         joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(64)).cast("int")).join(salted, ["host", "salt"], "left")
-    texts = joined.select("page_id", "url", text_of("html", "slots", "texts").alias("text"), F.coalesce("template_tokens", F.lit(0)).alias("template_tokens"))
+    texts = joined.select("page_id", "url", text_of("html", "slots", "texts", "nested").alias("text"), F.coalesce("template_tokens", F.lit(0)).alias("template_tokens"))
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "template_tokens")

@@ -262,6 +262,22 @@ def test_html_template(spark):
     assert html_template.extract(empty).count() == 0
 
 
+def test_html_template_inside_articles(spark):
+    """Marks of the article don't decide: fixed texts and link lists in it go, slots of the template beside it stay."""
+    rng = random.Random(13)
+    body = [prose(rng, 20) for _ in range(20)]
+    links = lambda: "".join(f'<li><a href="/">{prose(rng, 2)}</a>' for _ in range(rng.randrange(2, 6)))
+    rows = [(i, f"http://x.org/{i}", f'<body><div class="intro">lead {body[i]}</div><main><h1>Title {i}</h1><p>Read this first</p><div class="text"><p>{body[i]}</p><p>{"half of them say so" if i < 12 else body[i][::-1]}</p></div><ul>{links()}</ul></main><div class="rare{"x" * i}">out</div></body>') for i in range(20)]
+    # copies of a page are no template, nor are few pages
+    rows += [(100 + i, "http://y.org/", f"<body><main><p>{body[0] if i < 8 else body[i]}</p></main></body>") for i in range(12)]
+    rows += [(200 + i, "http://z.org/", f"<body><p>beside</p><main><p>few {i % 2}</p></main></body>") for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(20):
+        assert got[i] == f"lead {body[i]}\nTitle {i}\n{body[i]}\n" + ("half of them say so" if i < 12 else body[i][::-1])
+    assert [got[100 + i] for i in range(12)] == [body[0]] * 8 + body[8:12]
+    assert [got[200 + i] for i in range(4)] == ["few 0", "few 1"] * 2
+
+
 # -- lines -----------------------------------------------------------------------------------------------------------
 
 
