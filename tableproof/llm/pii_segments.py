@@ -106,7 +106,12 @@ def base_spans(text: str) -> list[Span]:
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s|.", re.S)
 #: Where entities may be: numbers in groups, and words around an "at".
 NUMBERS = re.compile(r"[+(]{0,2}[0-9](?:[\x20().\-–/]{0,3}[0-9])+")
-WRITTEN = re.compile(r"[\w.+%-]{1,64}(?:\x20dot\x20[\w-]{1,64}){0,3}\x20?(?:@|[\[({]\x20?(?:at|AT|@)\x20?[\])}]|\x20(?:at|AT)\x20)\x20?[\w-]{1,64}(?:\x20?(?:\.|[\[({]\x20?(?:dot|DOT)\x20?[\])}]|\x20(?:dot|DOT)\x20)\x20?[\w-]{1,64}){1,5}")
+_AT = r"\x20?(?:@|[\[({]\x20?(?:at|AT|@)\x20?[\])}]|\x20(?:at|AT)\x20)\x20?[\w-]{1,64}"
+_DOT = r"\x20?(?:\.|[\[({]\x20?(?:dot|DOT)\x20?[\])}]|\x20(?:dot|DOT)\x20)\x20?[\w-]"
+WRITTEN = re.compile(rf"[\w.+%-]{{1,64}}(?:\x20dot\x20[\w-]{{1,64}}){{0,3}}{_AT}(?:{_DOT}{{1,64}}){{1,5}}")
+#: What each match of WRITTEN has, and is one: the sign with what is next to it. A match begins at most LEAD characters before.
+SIGNED = re.compile(rf"(?=[\x20@\[({{])(?<=[\w.+%-]){_AT}{_DOT}")
+LEAD = 64 + 3 * (5 + 64)
 #: Last labels that written-out addresses commonly end in.
 ENDINGS = set("com org net edu gov mil int info biz io ai app dev co eu uk de fr es it nl be at ch pl cz se no fi dk pt ie us ca au nz jp cn in br mx ru".split())
 CONTEXT = {"tel": "tel", "phone": "tel", "call": "tel", "mobile": "tel", "fax": "tel", "ip": "ip", "host": "ip", "server": "ip", "card": "card", "visa": "card", "mastercard": "card", "mail": "mail", "email": "mail", "contact": "mail"}
@@ -126,11 +131,19 @@ def regions(text: str, spec: PiiSpec) -> Iterator[Region]:
                 region = _region(text, m.start(), m.end(), spec, False)
                 if region.candidates:
                     yield region
-    if "@" in text or " dot " in text or "dot]" in text or "dot)" in text or "(at)" in text or "[at]" in text:
-        for m in WRITTEN.finditer(text):
-            region = _region(text, m.start(), m.end(), spec, True)
-            if region.candidates:
-                yield region
+    for start, end in written(text):
+        region = _region(text, start, end, spec, True)
+        if region.candidates:
+            yield region
+
+
+def written(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of WRITTEN, looked for only from LEAD characters before each match of its SIGNED part."""
+    done = 0
+    while sign := SIGNED.search(text, done + 1):
+        m = WRITTEN.search(text, max(done, sign.start() - LEAD))
+        yield m.span()
+        done = m.end()
 
 
 def _region(text: str, start: int, end: int, spec: PiiSpec, written: bool) -> Region:
@@ -201,7 +214,13 @@ def span_features(text: str, a: int, b: int) -> tuple[str, ...]:
         if re.match(r"\s?(?:dot\b|[\[({]\s?dot\b)|\.[A-Za-z0-9]", text[b : b + 8], re.I) or re.search(r"[A-Za-z0-9](?:[._+%-]|\sdot\s)$", text[max(0, a - 8) : a], re.I):
             out.append("goes on")
         out.append("sign:" + ("@" if "@" in piece else "at" if re.search(r"[\[({]\s?at", piece, re.I) else "word"))
+        if re.search(r"\bAT\b", piece):
+            out.append("capitals")
+        if re.search(r"\.\s", piece):
+            out.append("gap")
         out.append("dots:" + ("." if "." in piece.partition("@")[2] else "dot" if re.search(r"\bdot\b", piece, re.I) else "-"))
+        if "hanging" not in out and "goes on" not in out:
+            out.append(f"form:{out[-2]}:{out[-1]}:{bool(tail) and tail[0].lower() in ENDINGS}")
     return tuple(out)
 
 
@@ -378,6 +397,8 @@ def _other_form(value: str, kind: int, rng: random.Random) -> str:
         local, _, domain = value.partition("@")
         sign = rng.choice((" at ", " [at] ", "(at)", " (at) ", "[at]", "@"))
         dot = rng.choice((" dot ", " [dot] ", "(dot)")) if sign == "@" or "at " in sign or rng.random() < 0.6 else "."
+        if rng.random() < 0.4:
+            sign, dot = rng.choice(((" AT ", " DOT "), (" AT ", "."), (" [AT] ", " [DOT] "), (" {at} ", " {dot} "), (" ( at ) ", "."), (" at ", ".")))
         return local + sign + domain.replace(".", dot)
     if kind == 2:
         d = digits_of(value)
@@ -407,7 +428,7 @@ def _innocent(rng: random.Random) -> str:
     while luhn(bad):
         bad = number(16)
     year = rng.choice(("19", "20")) + number(2)
-    return rng.choice((f"{year}-0{rng.randrange(1, 9)}-1{rng.randrange(9)}", f"1{rng.randrange(9)}/0{rng.randrange(1, 9)}/{year}", f"{year}-{year}", bad, f"{bad[:4]} {bad[4:8]} {bad[8:12]} {bad[12:]}", f"{rng.randrange(1, 30)}.{rng.randrange(9)}.{rng.randrange(9)}.{rng.randrange(400, 9999)}", f"{number(3)}.{number(3)},{number(2)}", number(rng.choice((7, 8, 9, 11, 12, 13))), f"ISBN 978-{number(1)}-{number(4)}-{number(4)}-{number(1)}", f"{number(4)} {number(4)}", f"{year}-01-01 12:{number(2)}:{number(2)}", rng.choice(("we meet at home dot and", "look at it dot then go", "at one dot or two", "he was at work dot dot dot")), f"{number(2)} 000 000", f"#{number(10)}"))
+    return rng.choice((f"{year}-0{rng.randrange(1, 9)}-1{rng.randrange(9)}", f"1{rng.randrange(9)}/0{rng.randrange(1, 9)}/{year}", f"{year}-{year}", bad, f"{bad[:4]} {bad[4:8]} {bad[8:12]} {bad[12:]}", f"{rng.randrange(1, 30)}.{rng.randrange(9)}.{rng.randrange(9)}.{rng.randrange(400, 9999)}", f"{number(3)}.{number(3)},{number(2)}", number(rng.choice((7, 8, 9, 11, 12, 13))), f"ISBN 978-{number(1)}-{number(4)}-{number(4)}-{number(1)}", f"{number(4)} {number(4)}", f"{year}-01-01 12:{number(2)}:{number(2)}", rng.choice(("we meet at home dot and", "look at it dot then go", "at one dot or two", "he was at work dot dot dot")), f"{rng.choice(('we meet', 'he stayed', 'look', 'she arrived', 'it was sold'))} at {rng.choice(('home', 'noon', 'it', 'Paris', 'work', 'auction'))}. {rng.choice(('In', 'It', 'Us', 'De', 'Be', 'The', 'Then', 'Is', 'At', 'No'))} {rng.choice(('the end', 'all was well', 'that'))}", f"{number(2)} 000 000", f"#{number(10)}"))
 
 
 def added_spans(text: str, base: list[Span], model: SegmentField, spec: PiiSpec) -> list[Span]:

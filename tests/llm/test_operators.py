@@ -197,6 +197,22 @@ def test_pii_field_adds(spark):
         assert found(clean) == []
 
 
+def test_pii_signs_without_at_sign():
+    """Each spelling in a text without another "@": the look ahead lets all matches through, and the field adds them."""
+    spec = pii_segments.PiiSpec()
+    model = pii_segments.fit([], spec)
+    found = lambda t: [t[a:b] for a, _, b in pii_segments.added_spans(t, pii_segments.base_spans(t), model, spec)]
+    for address in ("info at example.com", "jo [AT] example [DOT] com", "jo AT example DOT com", "jo {at} example {dot} org", "jo ( at ) example.com"):
+        assert found(f"write {address} please") == [address]
+    for clean in ("they met at noon. It was late", "we meet at home. In the end", "look at it. Be kind"):
+        assert found(clean) == []
+    rng = random.Random(14)
+    parts = ["jo", "a.b", "x" * 70, " dot ", " at ", " AT ", "(at)", "[ at ]", "{at}", "[@]", "@", " ", ".", "[dot]", "(", "]", "-", "com"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
+        assert list(pii_segments.written(text)) == [m.span() for m in pii_segments.WRITTEN.finditer(text)], text
+
+
 def test_pii_odd(odd, none):
     rows = {r["doc_id"]: r for r in pii_segments.find(odd).collect()}
     assert rows[1]["spans"] == "" and rows[1]["base_sha256"] == hashlib.sha256(b"").hexdigest()
