@@ -1,8 +1,8 @@
 """Personal data: base patterns, and a semi-Markov conditional random field that adds what they miss.
 
 The base finds emails, ip addresses, payment cards and phone numbers of the plain forms. Around runs of digits, "@" and
-spelt-out "at", candidate segments of up to max_tokens tokens are scored as wholes (shape, digit groups, checksum,
-context, length) by type; dynamic programming over all ways to cut a region into entities and single other tokens
+spelt-out "at", candidate segments of up to max_tokens tokens, and written-out addresses of whole words of any length,
+are scored as wholes (shape, digit groups, checksum, context, length) by type; dynamic programming over all ways to cut a region into entities and single other tokens
 chooses boundaries and types together, with learned transitions between neighbouring segments. A segment is added if
 the best cut has it, its posterior is high and no base span overlaps it.
 
@@ -149,12 +149,17 @@ def written(text: str) -> Iterator[tuple[int, int]]:
 def _region(text: str, start: int, end: int, spec: PiiSpec, written: bool) -> Region:
     tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text, start, end)]
     found = []
-    for i, (a, a_end) in enumerate(tokens):
+    # where a local part may begin and a last label may end
+    heads = {m.start(1) for m in re.compile(r"[_.+%-]*([^\W_][\w.+%-]*)").finditer(text, start, end)} if written else ()
+    tails = {m.end() for m in re.compile(r"[\w-]*[^\W_]").finditer(text, start, end)} if written else ()
+    for i, (a, _) in enumerate(tokens):
         first = text[a]
         if not (first.isalnum() or (not written and first in "+(")):
             continue
-        for j in range(i, min(i + spec.max_tokens, len(tokens))):
+        for j in range(i, len(tokens) if a in heads else min(i + spec.max_tokens, len(tokens))):
             b = tokens[j][1]
+            if j >= i + spec.max_tokens and b not in tails:
+                continue
             last = text[b - 1]
             if not (last.isalnum() or (not written and last == ")")):
                 continue

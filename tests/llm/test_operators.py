@@ -213,6 +213,18 @@ def test_pii_signs_without_at_sign():
         assert list(pii_segments.written(text)) == [m.span() for m in pii_segments.WRITTEN.finditer(text)], text
 
 
+def test_pii_long_written_forms():
+    """Addresses of more than max_tokens tokens are candidates as wholes."""
+    spec = pii_segments.PiiSpec()
+    model = pii_segments.fit([], spec)
+    for address in ("jane.doe [at] mail [dot] example [dot] com", "jane dot m dot doe at mail dot sub dot web dot example dot com", "a.b-c.d.e.f+g (at) mail (dot) sub (dot) example (dot) com"):
+        text = f"write {address} please"
+        assert [text[a:b] for a, _, b in pii_segments.added_spans(text, [], model, spec)] == [address]
+    text = "_" + "a." * 31 + "b [at] " + "x-" * 31 + "x [dot] com_"
+    (region,) = pii_segments.regions(text, spec)
+    assert (1, len(text) - 1) in {(region.tokens[i][0], region.tokens[j - 1][1]) for i, j, _, _ in region.candidates}
+
+
 def test_pii_odd(odd, none):
     rows = {r["doc_id"]: r for r in pii_segments.find(odd).collect()}
     assert rows[1]["spans"] == "" and rows[1]["base_sha256"] == hashlib.sha256(b"").hexdigest()
