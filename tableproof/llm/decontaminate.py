@@ -6,9 +6,11 @@ that came back with other numbers or names still meet their item. For documents
 the placeholders' values are read again and checked for slot consistency: along the alignment with most windows, one
 value of the item must always stand for one value of the document.
 
-Everything is DataFrame functions. Nulls: a null text has no windows; items without a window of at least min_literals
-plain words can't be found. Texts of under five tokens are one window. Rows that repeat an id and a text share a
-verdict; an empty table or benchmark flags nothing.
+Items of under five tokens, or without a window of at least min_literals plain words, are found by their literal tokens,
+values included, as one run of a text; those of under min_literals tokens ("4 + 4" has two) can't be found.
+
+Everything is DataFrame functions. Nulls: a null text has no windows. Texts of under five tokens are one window. Rows
+that repeat an id and a text share a verdict; an empty table or benchmark flags nothing.
 """
 
 from __future__ import annotations
@@ -90,7 +92,7 @@ def valued_windows(text: Column, width: int, names: bool = True) -> Column:
 
 
 def item_windows(items: DataFrame, rules: TemplateRules, id_column: str, text_column: str) -> DataFrame:
-    """item, names, h, at, total (windows of the item that count): windows with enough plain words.
+    """item, names, h, at, full, total (windows of the item that count): windows with enough plain words.
 
     Each item is taken with names as placeholders and, for texts all in capitals, without.
     """
@@ -98,11 +100,31 @@ def item_windows(items: DataFrame, rules: TemplateRules, id_column: str, text_co
     tokens = both[0].unionByName(both[1]).withColumn("w", windows(F.col("t"), rules.width))
     rows = tokens.select("item", "names", "t", F.posexplode("w").alias("at", "h"))
     literals = F.size(F.filter(F.slice("t", F.col("at") + 1, rules.width), lambda x: ~x.startswith("<")))
-    good = rows.where(literals >= rules.min_literals).select("item", "names", "h", "at")
+    good = rows.where(literals >= rules.min_literals).select("item", "names", "h", "at", (F.size("t") >= rules.width).alias("full"))
     total = good.groupBy("item", "names").agg(F.countDistinct("h").alias("total"))
     return good.join(total, ["item", "names"])
 
 
+def verbatim(named: DataFrame, items: DataFrame, bench: DataFrame, rules: TemplateRules, id_column: str, text_column: str) -> DataFrame | None:
+    """id, version, item, share, consistency of the documents that hold, token by token, an item that windows can't find.
+
+    None if there are no such items.
+    """
+    literal = items.select(F.col(id_column).alias("item"), slots(F.col(text_column), False).alias("t")).where(F.size("t") >= rules.min_literals)
+    rest = literal.join(bench.where(F.col("names") & F.col("full")).select("item").distinct(), "item", "left_anti")
+    # the first tokens find the places, the whole run decides
+    exact = hold(rest.select("item", F.get(windows(F.col("t"), rules.min_literals), F.lit(0)).alias("h"), F.array_join("t", " ").alias("run")))
+    if exact.isEmpty():
+        return None
+    tokens = slots(F.col("text"), False)
+    places = named.select("id", "version", F.explode(F.array_distinct(windows(tokens, rules.min_literals))).alias("h"))
+    some = hold(places.join(broadcast_if(exact, rules.broadcast_windows), "h").select("id", "version", "item", "run").distinct())
+    whole = named.join(broadcast_if(some.select("id", "version").distinct(), 200_000), ["id", "version"], "left_semi").dropDuplicates(["id", "version"])
+    lines = whole.select("id", "version", F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" ")).alias("line"))
+    held = lines.join(some, ["id", "version"]).where(F.contains("line", F.concat(F.lit(" "), F.col("run"), F.lit(" "))))
+    return held.select("id", "version", "item", F.lit(1.0).alias("share"), F.lit(1.0).alias("consistency"))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, rules: TemplateRules = TemplateRules(), *, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
     """id, version (hash of the text), item, share, consistency of the documents that hold an item: a held table."""
     bench = hold(item_windows(items, rules, item_column, item_text))
@@ -124,7 +146,11 @@ def contaminated(docs: DataFrame, items: DataFrame, rules: TemplateRules = Templ
     best = along.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("n"), F.desc("share"), F.desc("names"), "offset"))).where(F.col("r") == 1)
     pairs = F.array_distinct(F.filter("pairs", lambda x: x["iv"].startswith("<")))
     consistency = let(pairs, lambda ps: F.when(F.size(ps) == 0, F.lit(1.0)).otherwise(F.aggregate(F.transform(ps, lambda x: F.when(F.size(F.filter(ps, lambda y: y["iv"] == x["iv"])) == 1, 1.0).otherwise(0.0)), F.lit(0.0), lambda a, v: a + v) / F.size(ps)))
-    return hold(best.select(*key, "share", consistency.alias("consistency")).where(F.col("consistency") >= rules.consistency))
+    found = best.select(*key, "share", consistency.alias("consistency")).where(F.col("consistency") >= rules.consistency)
+    exact = verbatim(named, items, bench, rules, item_column, item_text)
+    if exact is None:
+        return hold(found)
+    return hold(found.unionByName(exact).groupBy(*key).agg(F.max("share").alias("share"), F.max("consistency").alias("consistency")))
 
 
 def judge(docs: DataFrame, items: DataFrame, rules: TemplateRules = TemplateRules(), *, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:

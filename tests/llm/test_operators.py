@@ -102,6 +102,16 @@ def test_templates(spark):
     assert sorted(r["doc_id"] for r in decontaminate.clean(docs, items).collect()) == [2, 4, 5, 6, 7]
 
 
+def test_templates_of_few_words(spark):
+    """Items without a window of plain words, or of under five tokens, are found verbatim, inside longer texts too."""
+    items = spark.createDataFrame([(1, "Calculate 12 + 7 * 3"), (2, "name the red planet"), (3, "12 13 14 15 16 17 18"), (4, "Tom Lee visits Paris"), (5, "one two three four five six")], "item_id long, text string")
+    docs = ["so calculate 12 + 7 * 3 now please", "Calculate 12 + 8 * 3", "Please name the red planet for us", "name the red planets", "see 12 13 14 15 16 17 18 and 19", "12 13 14 15 16 17 180", "then TOM LEE VISITS PARIS again", "Calculate 12 + 7 * 3", "name the red planet", "and one two three four five six", None]
+    docs = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["item_id"], r["n_items"]) for r in decontaminate.judge(docs, items).collect()}
+    assert got == {0: (1, 1), 1: (None, 0), 2: (2, 1), 3: (None, 0), 4: (3, 1), 5: (None, 0), 6: (4, 1), 7: (1, 1), 8: (2, 1), 9: (5, 1), 10: (None, 0)}
+    assert sorted(r["doc_id"] for r in decontaminate.clean(docs, items).collect()) == [1, 3, 5, 10]
+
+
 def test_templates_odd(odd, none, spark):
     items = spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string")
     assert decontaminate.judge(odd, items).where("contaminated").count() == 0
