@@ -45,7 +45,8 @@ class NearDupRules:
     bands: int = 60
     #: Permutations of a band; each gives two of its values.
     permutations: int = 4
-    #: Sets up to this size have their own exact keys as well: links between them differ by one shingle on each side.
+    #: Sets up to this size have their own exact keys as well: links between them differ by one shingle on each side,
+    #: or a set of ten by two from one of eight inside it.
     small: int = 10
     #: Bands whose hubs connect groups before what is left is settled by components' centres.
     first_bands: int = 4
@@ -141,10 +142,14 @@ def band_keys(hashes: np.ndarray, factors: np.ndarray, rules: NearDupRules) -> n
 
 
 def small_keys(hashes: np.ndarray) -> np.ndarray:
-    """Keys of a small set and of the set without each of its members: similar small sets share one of them."""
+    """Keys of a small set and of the set without each of its members: similar small sets share one of them.
+
+    Sets of ten and more have keys without each two members, too.
+    """
     scattered = _scramble(hashes ^ MIX)
     whole = scattered.sum(dtype=np.uint64)
-    return _scramble(np.concatenate([whole[None], whole - scattered]) ^ np.uint64(0x5DEECE66D)).view(np.int64)
+    i, j = np.triu_indices(len(hashes) if len(hashes) >= 10 else 0, 1)
+    return _scramble(np.concatenate([whole[None], whole - scattered, whole - scattered[i] - scattered[j]]) ^ np.uint64(0x5DEECE66D)).view(np.int64)
 
 
 def portions(batch: pa.RecordBatch, column: str, chars: int = 1_000_000) -> Iterator[pa.RecordBatch]:

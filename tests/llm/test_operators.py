@@ -431,6 +431,19 @@ def test_near_duplicates_of_few_words(spark):
     assert got == {i: root(i) for i in range(300)}
 
 
+def test_small_sets_share_exact_keys():
+    """All links of sets of up to ten at 80 percent, among them a set of eight inside one of ten."""
+    import numpy as np
+
+    sets = {n: np.random.default_rng(n).integers(1, 1 << 63, n).astype(np.uint64) for n in range(1, 11)}
+    for n, members in sets.items():
+        for gone in range(1, n):
+            if 100 * (n - gone) >= 80 * n:
+                assert set(near_dedup.small_keys(members)) & set(near_dedup.small_keys(members[gone:])), (n, gone)
+                assert set(near_dedup.small_keys(members)) & set(near_dedup.small_keys(members[:-gone])), (n, gone)
+    assert len(near_dedup.small_keys(sets[9])) == 10 and len(near_dedup.small_keys(sets[10])) == 56
+
+
 def test_near_duplicates_odd(odd, none):
     got = {r["doc_id"]: r for r in near_dedup.near_duplicates(odd).collect()}
     assert got[5]["component_id"] == got[6]["component_id"] == got[10]["component_id"] == 4 and got[None]["kept"] and got[1]["n_shingles"] == 0
