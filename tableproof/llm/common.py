@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tableproof.plans.held import hold, shared_folder
 
-__all__ = ["WORD", "WS", "batches_of", "benchmark", "broadcast_if", "documents", "free_name", "hold", "hold_fit", "let", "pages", "shared_folder", "ship", "word_count", "words"]
+__all__ = ["WORD", "WS", "batches_of", "benchmark", "broadcast_if", "documents", "free_name", "hold", "hold_fit", "join_hot", "let", "pages", "shared_folder", "ship", "word_count", "words"]
 
 #: Words are runs of anything but the ASCII white space of this class.
 WS = r"[\x20\x09-\x0D]+"
@@ -69,6 +69,19 @@ def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, spread: list[str], rows: int, *, how: str = "inner", salts: int = 64) -> DataFrame:
+    """left joined with right (held, one row a key), where one key may hold much of left.
+
+    right is broadcast if it has at most so many rows (they are counted); else it is repeated over salts, and left's rows
+    of a key are dealt out over them by a hash of the columns spread. Keys are not null (a struct of a null is none).
+    """
+    if right.limit(rows + 1).count() <= rows:
+        return left.join(F.broadcast(right), key, how)
+    salt = free_name("salt", [*left.columns, *right.columns])
+    salted = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn(salt, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).join(salted, [key, salt], how).drop(salt)
+
+
 def free_name(name: str, columns: list[str]) -> str:
     """name, or name with as many underscores as make it none of columns (in any case of letters)."""
     taken = {c.lower() for c in columns}

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tableproof.llm.common import hold, hold_fit, word_count
+from tableproof.llm.common import hold, hold_fit, join_hot, word_count
 
 UNIT = 1 << 20  # rates are counted in this fraction
 
@@ -42,10 +42,14 @@ class MixSpec:
     broadcast_sources: int = 50_000
 
 
+def _src(source_column: str) -> Column:
+    """The source as a key that is never null: null comes as "w", after all others ("v...")."""
+    return F.coalesce(F.concat(F.lit("v"), F.col(source_column).cast("string")), F.lit("w"))
+
+
 def units_of(docs: DataFrame, id_column: str, text_column: str, source_column: str) -> DataFrame:
-    """A row for each distinct (id, text): src (never null), size and how many rows it stands for."""
-    src = F.coalesce(F.concat(F.lit("v"), F.col(source_column).cast("string")), F.lit("w"))  # w: null, after all others
-    rows = docs.select(F.col(id_column).alias("id"), src.alias("src"), F.xxhash64(F.col(text_column)).alias("version"), word_count(F.col(text_column)).alias("size"))
+    """A row for each distinct (id, source, text): src (never null), size and how many rows it stands for."""
+    rows = docs.select(F.col(id_column).alias("id"), _src(source_column).alias("src"), F.xxhash64(F.col(text_column)).alias("version"), word_count(F.col(text_column)).alias("size"))
     return rows.groupBy("id", "src", "version", "size").agg(F.count(F.lit(1)).alias("m"))
 
 
@@ -136,11 +140,8 @@ def running(rows: DataFrame, keys: Sequence[str], levels: Sequence[str], order:
 
 
 def _with_sources(units: DataFrame, sources: DataFrame, spec: MixSpec) -> DataFrame:
-    """units joined with their source's row: broadcast if the sources are few (counted), else over 64 salts."""
-    if sources.count() <= spec.broadcast_sources:
-        return units.join(F.broadcast(sources), "src")
-    salted = sources.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    return units.withColumn("salt", F.pmod(F.xxhash64("id", "version"), F.lit(64)).cast("int")).join(salted, ["src", "salt"]).drop("salt")
+    """units joined with their source's row."""
+    return join_hot(units, sources, "src", ["id", "version"], spec.broadcast_sources)
 
 
 def mix_units(units: DataFrame, spec: MixSpec) -> DataFrame:
@@ -178,7 +179,7 @@ def mix(docs: DataFrame, spec: MixSpec = MixSpec(), *, id_column: str = "doc_id"
 def mixed_documents(docs: DataFrame, spec: MixSpec = MixSpec(), *, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", added: tuple[str, str] = ("_taken", "_copies")) -> DataFrame:
     """The rows of docs that the mix takes words of, with words taken and whole copies as the added columns."""
     mixed = mix_units(hold(units_of(docs, id_column, text_column, source_column)), spec).where(F.col("taken") > 0)
-    chosen = mixed.select("id", "version", "taken", F.floor(F.col("taken") / F.col("size")).cast("long").alias("copies"))
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_column).alias("rid"), F.xxhash64(F.col(text_column)).alias("rv"))
-    joined = rows.join(chosen, F.col("rid").eqNullSafe(F.col("id")) & (F.col("rv") == F.col("version")))
+    chosen = mixed.select("id", "src", "version", "taken", F.floor(F.col("taken") / F.col("size")).cast("long").alias("copies"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_column).alias("rid"), _src(source_column).alias("rs"), F.xxhash64(F.col(text_column)).alias("rv"))
+    joined = rows.join(chosen, F.col("rid").eqNullSafe(F.col("id")) & (F.col("rs") == F.col("src")) & (F.col("rv") == F.col("version")))
     return joined.select(*[F.col("row")[c].alias(c) for c in docs.columns], F.col("taken").alias(added[0]), F.col("copies").alias(added[1]))
