@@ -6,7 +6,7 @@ neighbouring words, so stretches of code-switched text are told apart; forward-b
 a document's language is the one with the greatest share of its words with letters.
 
 The field is fitted on the driver by stochastic gradient ascent of the conditional likelihood, on a bounded sample of
-labelled documents (LangIdSpec.sample_docs a language) cut into stretches and strung together, so that it sees switches.
+labelled documents (LangIdSpec.sample_docs a language, sample_total in all) cut into stretches and strung together, so that it sees switches.
 Prediction reads every whole text. Forward and backward passes run over a whole batch at once: the chain is cut into
 blocks whose transfer matrices are multiplied side by side, which is exact.
 
@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableproof.llm.common import ship
+from tableproof.llm.common import broadcast_if, hold, ship
 
 ship(__name__)
 
@@ -35,9 +35,10 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class LangIdSpec:
-    #: Labelled documents of each language that the field is fitted on, about (chosen by a hash of their id), and the
-    #: longest of them in characters; longer ones are not used for fitting.
+    #: Labelled documents of each language that the field is fitted on, about (chosen by a hash of their id), how many
+    #: of all languages, in even shares, and the longest of them in characters; longer ones are not used for fitting.
     sample_docs: int = 300
+    sample_total: int = 3_000
     sample_chars: int = 50_000
     orders: tuple[int, ...] = (2, 3, 4)
     buckets: int = 1 << 16
@@ -279,14 +280,13 @@ def portions(texts: pd.Series, chars: int = 1_000_000) -> Iterator[pa.Array]:
 
 
 def training_sample(docs: DataFrame, spec: LangIdSpec, id_column: str, text_column: str, lang_column: str, usable: Column) -> list[tuple[str, str]]:
-    """Up to about spec.sample_docs (text, language) rows a language, those with the smallest hashes of their id."""
+    """Up to about spec.sample_docs (text, language) rows a language and spec.sample_total in all, by hashes of their id."""
     labelled = docs.where(usable & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(id_column).cast("string").alias("id"), F.col(text_column).cast("string").alias("text"), F.col(lang_column).cast("string").alias("lang"))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
+    counts = hold(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    each = min(spec.sample_docs, spec.sample_total / max(counts.count(), 1))
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    keep = F.lit(False)
-    for lang, n in sorted(counts.items()):
-        keep = keep | ((F.col("lang") == lang) & (draw < spec.sample_docs / n))
-    rows = labelled.where(keep & (F.length("text") <= spec.sample_chars)).select("id", "text", "lang").collect()
+    short = labelled.where(F.length("text") <= spec.sample_chars).withColumn("draw", draw)
+    rows = short.join(broadcast_if(counts, 10_000), "lang").where(F.col("draw") < F.lit(each) / F.col("n")).select("id", "text", "lang").collect()
     return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["id"] or "", r["lang"], r["text"]))]
 
 
@@ -306,10 +306,13 @@ def identify(docs: DataFrame, spec: LangIdSpec = LangIdSpec(), *, model: Field |
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = Field(**held.value, spec=spec)
         for batch in batches:
-            parts = [shares(texts, model) if labels else (np.zeros((len(texts), 0)), np.zeros(len(texts), np.int64)) for texts in portions(batch)]
-            share, lettered = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+            share, lettered = np.zeros((len(batch), len(labels))), np.zeros(len(batch), np.int64)
+            done = 0
+            for texts in portions(batch) if labels else ():
+                share[done : done + len(texts)], lettered[done : done + len(texts)] = shares(texts, model)
+                done += len(texts)
             known = lettered > 0
-            best = share.argmax(axis=1) if labels else np.zeros(len(texts), np.int64)
+            best = share.argmax(axis=1) if labels else np.zeros(len(batch), np.int64)
             names = np.array([*labels, UNKNOWN], object)
             pick = np.where(known, best, len(labels))
             score = np.where(known, share.max(axis=1, initial=0.0), 0.0)
