@@ -10,7 +10,8 @@ Items of under five tokens, or without a window of at least min_literals plain w
 values included, as one run of a text; those of under min_literals tokens ("4 + 4" has two) can't be found.
 
 Everything is DataFrame functions. Nulls: a null text has no windows. Texts of under five tokens are one window. Rows
-that repeat an id and a text share a verdict; an empty table or benchmark flags nothing.
+that repeat an id and a text share a verdict, rows with a null id and one text too; an empty table or benchmark flags
+nothing. Other columns of the documents are passed over by judge() and kept by clean(), whatever their names.
 """
 
 from __future__ import annotations
@@ -125,47 +126,80 @@ def verbatim(named: DataFrame, items: DataFrame, bench: DataFrame, rules: Templa
     return held.select("id", "version", "item", F.lit(1.0).alias("share"), F.lit(1.0).alias("consistency"))
 
 
+def _key(id_column: str) -> Column:
+    """The id as a join key: as a field of a struct, a null is a value like any other."""
+    return F.struct(F.col(id_column).alias("id")).alias("id")
+
+
+def holders(hits: DataFrame, bench: DataFrame, rules: TemplateRules) -> DataFrame:
+    """id, version, item, names, share of the documents that hold enough of an item's windows. hits (held): id, version, h.
+
+    A document that holds enough of an item's T windows has one of any T - needed + 1 of them: only windows that few
+    items share propose items, so a preamble of a thousand items proposes none of them. All windows count afterwards.
+    """
+    of_item = bench.select("item", "names", "h", "total").distinct()
+    uses = of_item.groupBy("h").agg(F.count(F.lit(1)).alias("uses"))
+    by_use = Window.partitionBy("item", "names").orderBy("uses", "h")
+    rare = of_item.join(uses, "h").withColumn("r", F.row_number().over(by_use)).where(F.col("r") <= F.col("total") - F.ceil(F.col("total") * rules.containment) + 1)
+    proposed = hits.join(broadcast_if(hold(rare.select("h", "item", "names")), rules.broadcast_windows), "h").select("id", "version", "item", "names").distinct()
+    windows_of = proposed.join(broadcast_if(hold(of_item), rules.broadcast_windows), ["item", "names"])
+    counted = windows_of.join(hits, ["id", "version", "h"]).groupBy("id", "version", "item", "names").agg((F.count(F.lit(1)) / F.min("total")).alias("share"))
+    return counted.where(F.col("share") >= rules.containment)
+
+
+def consistent(meets: DataFrame) -> DataFrame:
+    """id, version, item, share, consistency along the alignment with most windows.
+
+    meets (held): id, version, item, names, share, offset (of the alignment) and pairs (iv, dv) of slots, a row for each
+    window of an item that a document holds. The consistency is the share of distinct pairs whose item value has no
+    other document value.
+    """
+    key = ["id", "version", "item"]
+    along = meets.groupBy(*key, "names", "share", "offset").agg(F.count(F.lit(1)).alias("n"))
+    best = along.groupBy(*key).agg(F.max(F.struct("n", "share", "names", (-F.col("offset")).alias("back"))).alias("best"))
+    best = best.select(*key, F.col("best.share").alias("share"), F.col("best.names").alias("names"), (-F.col("best.back")).alias("offset"))
+    pairs = meets.join(best.drop("share"), [*key, "names", "offset"]).select(*key, F.explode("pairs").alias("p")).select(*key, "p.iv", "p.dv").distinct()
+    values = pairs.groupBy(*key, "iv").agg(F.count(F.lit(1)).alias("n"))
+    kept = values.groupBy(*key).agg((F.sum((F.col("n") == 1).cast("long")) / F.sum("n")).alias("consistency"))
+    return best.join(kept, key, "left").select(*key, "share", F.coalesce("consistency", F.lit(1.0)).alias("consistency"))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, rules: TemplateRules = TemplateRules(), *, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
-    """id, version (hash of the text), item, share, consistency of the documents that hold an item: a held table."""
+    """id (struct of the id), version (hash of the text), item, share, consistency of the documents that hold an item: held."""
     bench = hold(item_windows(items, rules, item_column, item_text))
-    wanted = bench.select("h").distinct()
-    named = docs.select(F.col(id_column).alias("id"), F.xxhash64(F.col(text_column)).alias("version"), F.col(text_column).cast("string").alias("text"))
+    wanted = hold(bench.select("h").distinct())
+    named = docs.select(_key(id_column), F.xxhash64(F.col(text_column)).alias("version"), F.col(text_column).cast("string").alias("text"))
     hashes = named.select("id", "version", F.explode(F.array_distinct(windows(template(F.col("text")), rules.width))).alias("h"))
-    hits = hashes.join(broadcast_if(hold(wanted), rules.broadcast_windows), "h").distinct()
-    held = hits.join(bench.select("item", "names", "h", "total").distinct(), "h").groupBy("id", "version", "item", "names").agg((F.count(F.lit(1)) / F.min("total")).alias("share"))
-    likely = hold(held.where(F.col("share") >= rules.containment))
+    hits = hold(hashes.join(broadcast_if(wanted, rules.broadcast_windows), "h").distinct())
+    likely = hold(holders(hits, bench, rules))
     # slots are read only in documents that are likely to hold an item
     some = named.join(broadcast_if(hold(likely.select("id", "version").distinct()), 200_000), ["id", "version"], "left_semi").dropDuplicates(["id", "version"])
     doc_side = some.select("id", "version", F.explode(valued_windows(F.col("text"), rules.width)).alias("w")).select("id", "version", F.col("w.at").alias("p"), F.col("w.h").alias("h"), F.col("w.v").alias("dv"))
-    doc_side = doc_side.join(likely, ["id", "version"])
+    doc_side = doc_side.join(broadcast_if(wanted, rules.broadcast_windows), "h", "left_semi").join(likely, ["id", "version"])
     both = [items.select(F.col(item_column).alias("item"), F.lit(names).alias("names"), F.explode(valued_windows(F.col(item_text), rules.width, names)).alias("w")) for names in (True, False)]
     item_side = both[0].unionByName(both[1]).select("item", "names", F.col("w.h").alias("h"), F.col("w.at").alias("at"), F.col("w.v").alias("iv")).join(bench.select("item", "names", "h", "at"), ["item", "names", "h", "at"], "left_semi")
-    meets = doc_side.join(item_side, ["item", "names", "h"]).withColumn("offset", F.col("p") - F.col("at"))
-    key = ["id", "version", "item"]
-    along = hold(meets.groupBy(*key, "names", "share", "offset").agg(F.count(F.lit(1)).alias("n"), F.flatten(F.collect_set(F.arrays_zip(F.col("iv").alias("iv"), F.col("dv").alias("dv")))).alias("pairs")))
-    best = along.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("n"), F.desc("share"), F.desc("names"), "offset"))).where(F.col("r") == 1)
-    pairs = F.array_distinct(F.filter("pairs", lambda x: x["iv"].startswith("<")))
-    consistency = let(pairs, lambda ps: F.when(F.size(ps) == 0, F.lit(1.0)).otherwise(F.aggregate(F.transform(ps, lambda x: F.when(F.size(F.filter(ps, lambda y: y["iv"] == x["iv"])) == 1, 1.0).otherwise(0.0)), F.lit(0.0), lambda a, v: a + v) / F.size(ps)))
-    found = best.select(*key, "share", consistency.alias("consistency")).where(F.col("consistency") >= rules.consistency)
+    pairs = F.filter(F.arrays_zip(F.col("iv").alias("iv"), F.col("dv").alias("dv")), lambda x: x["iv"].startswith("<"))
+    meets = doc_side.join(broadcast_if(hold(item_side), rules.broadcast_windows), ["item", "names", "h"]).select("id", "version", "item", "names", "share", (F.col("p") - F.col("at")).alias("offset"), pairs.alias("pairs"))
+    found = consistent(hold(meets)).where(F.col("consistency") >= rules.consistency)
     exact = verbatim(named, items, bench, rules, item_column, item_text)
     if exact is None:
         return hold(found)
-    return hold(found.unionByName(exact).groupBy(*key).agg(F.max("share").alias("share"), F.max("consistency").alias("consistency")))
+    return hold(found.unionByName(exact).groupBy("id", "version", "item").agg(F.max("share").alias("share"), F.max("consistency").alias("consistency")))
 
 
 def judge(docs: DataFrame, items: DataFrame, rules: TemplateRules = TemplateRules(), *, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, contaminated, item_id (the one held most, ties to the smallest), share, consistency, n_items for each row."""
     found = contaminated(docs, items, rules, id_column=id_column, text_column=text_column, item_column=item_column, item_text=item_text)
     by_doc = found.groupBy("id", "version").agg(F.min_by(F.struct("item", "share", "consistency"), F.struct(-F.col("share"), -F.col("consistency"), F.col("item"))).alias("best"), F.count(F.lit(1)).alias("n"))
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(F.col(text_column)).alias("v"))
-    joined = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("v") == F.col("version")), "left")
-    return joined.select("doc_id", F.col("best").isNotNull().alias("contaminated"), F.col("best.item").alias("item_id"), F.col("best.share").alias("share"), F.col("best.consistency").alias("consistency"), F.coalesce("n", F.lit(0)).cast("long").alias("n_items"))
+    rows = docs.select(_key(id_column), F.xxhash64(F.col(text_column)).alias("version"))
+    joined = rows.join(by_doc, ["id", "version"], "left")
+    return joined.select(F.col("id.id").alias("doc_id"), F.col("best").isNotNull().alias("contaminated"), F.col("best.item").alias("item_id"), F.col("best.share").alias("share"), F.col("best.consistency").alias("consistency"), F.coalesce("n", F.lit(0)).cast("long").alias("n_items"))
 
 
 def clean(docs: DataFrame, items: DataFrame, rules: TemplateRules = TemplateRules(), *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of docs that hold no item."""
     found = contaminated(docs, items, rules, id_column=id_column, text_column=text_column)
     gone = hold(found.select("id", "version").distinct())
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_column).alias("rid"), F.xxhash64(F.col(text_column)).alias("rv"))
-    kept = rows.join(broadcast_if(gone, 200_000), F.col("rid").eqNullSafe(F.col("id")) & (F.col("rv") == F.col("version")), "left_anti")
+    rows = docs.select(F.struct("*").alias("row"), _key(id_column), F.xxhash64(F.col(text_column)).alias("version"))
+    kept = rows.join(broadcast_if(gone, 200_000), ["id", "version"], "left_anti")
     return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
