@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableproof.llm.common import WS, hold, let, words
+from tableproof.llm.common import WS, hold, join_hot, let, words
 
 
 @dataclass(frozen=True)
@@ -35,6 +35,8 @@ class QualityRules:
     trusted_fails: int = 2
     suspect_fails: int = 1
     blocked_fails: int = 0
+    #: Up to so many hosts' verdicts (under 100 bytes each) are broadcast; more are joined over salted keys.
+    broadcast_hosts: int = 100_000
 
 
 #: The characters that count as symbols.
@@ -69,20 +71,18 @@ def measures(text: Column) -> Column:
     """Struct of a text's counts; a null text counts as empty."""
     text = F.coalesce(text, F.lit(""))
 
-    def lines(parts: Column) -> Column:
-        return F.size(parts) - F.size(F.array_distinct(parts))
-
-    def of(w: Column) -> Column:
+    def of(w: Column, parts: Column) -> Column:
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.length(F.regexp_replace(text, WS, "")).cast("long").alias("word_chars"),
             (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-            let(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lines).cast("long").alias("n_dup_lines"),
-            let(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), F.size).cast("long").alias("n_lines"),
+            (F.size(parts) - F.size(F.array_distinct(parts))).cast("long").alias("n_dup_lines"),
+            F.size(parts).cast("long").alias("n_lines"),
             repeated_words(w).alias("n_repeat_words"),
         )
 
-    return let(words(text), of)
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    return let(words(text), lambda w: let(lines, lambda parts: of(w, parts)))
 
 
 def soft_failures(m: Column, rules: QualityRules) -> Column:
@@ -128,6 +128,8 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules(), *, id_column: s
     measured = docs.select(F.col(id_column).alias("doc_id"), F.col(host_column).cast("string").alias("host"), measures(F.col(text_column)).alias("m"))
     judged = hold(measured.select("doc_id", "host", "m.*", base.alias("base_failed"), soft_failures(m, rules).alias("soft")))
     verdicts = host_verdicts(judged.select("host", (F.col("base_failed") | (F.col("soft") > 0)).alias("failed")), rules)
-    allowed = F.when(F.col("verdict") == "blocked", rules.blocked_fails).when(F.col("verdict") == "suspect", rules.suspect_fails).otherwise(rules.trusted_fails)
-    joined = judged.alias("d").join(verdicts.alias("v"), F.col("d.host").eqNullSafe(F.col("v.host")))
-    return joined.select("d.*", F.col("v.rate").alias("host_rate"), F.col("v.verdict").alias("host_verdict"), (~F.col("base_failed") & (F.col("soft") < allowed)).alias("kept"))
+    allowed = F.when(F.col("host_verdict") == "blocked", rules.blocked_fails).when(F.col("host_verdict") == "suspect", rules.suspect_fails).otherwise(rules.trusted_fails)
+    # a null host is a host: as a field of a struct it is a key like any other
+    held = hold(verdicts.select(F.struct("host").alias("key"), F.col("rate").alias("host_rate"), F.col("verdict").alias("host_verdict")))
+    joined = join_hot(judged.withColumn("key", F.struct("host")), held, "key", ["doc_id"], rules.broadcast_hosts)
+    return joined.select(*judged.columns, "host_rate", "host_verdict", (~F.col("base_failed") & (F.col("soft") < allowed)).alias("kept"))
