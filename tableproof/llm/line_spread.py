@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableproof.llm.common import WS, hold, let
+from tableproof.llm.common import WS, hold, join_hot, let
 
 
 @dataclass(frozen=True)
@@ -29,6 +29,8 @@ class SpreadLimits:
     lg_k: int = 11
     #: Estimates within so many standard errors (and one site) of the threshold are counted exactly.
     errors: float = 4.0
+    #: Up to so many boilerplate lines (16 bytes each) are broadcast; more are joined over salted keys.
+    broadcast_lines: int = 500_000
 
     @property
     def band(self) -> tuple[float, float]:
@@ -63,8 +65,8 @@ def boilerplate(lines: DataFrame, limits: SpreadLimits = SpreadLimits()) -> Data
 def remove_boilerplate(docs: DataFrame, limits: SpreadLimits = SpreadLimits(), *, id_column: str = "doc_id", text_column: str = "text", site_column: str = "source", drop_empty: bool = True, count_column: str = "_n_removed") -> DataFrame:
     """docs with their columns, the text without boilerplate lines, and the number of lines removed as count_column."""
     lines = hold(lines_of(docs, id_column, text_column, site_column))  # three passes read it; the texts are split once
-    common = boilerplate(lines, limits)
-    gone = lines.join(common, "key").where(~F.col("id").eqNullSafe(F.col("first_id")))
+    common = hold(boilerplate(lines, limits))
+    gone = join_hot(lines, common, "key", ["id", "at"], limits.broadcast_lines).where(~F.col("id").eqNullSafe(F.col("first_id")))
     marked = gone.groupBy("id", "version").agg(F.collect_set("at").alias("places"))
     rows = docs.select(F.struct("*").alias("row"), F.col(id_column).alias("rid"), F.xxhash64(F.col(text_column)).alias("rv"))
     joined = rows.join(marked, F.col("rid").eqNullSafe(F.col("id")) & (F.col("rv") == F.col("version")), "left")
