@@ -1,10 +1,10 @@
 """Weighted URL vocabulary: one Aho-Corasick automaton finds strict and soft terms, and list rules override it.
 
 A url is rejected on one strict term or on several distinct soft ones. A term counts only where it stands between
-boundaries: no letter or digit before or after it (terms marked loose may stand inside a word).
+boundaries: no letter or digit before or after it.
 
-Nulls and urls without "://" have an empty host and path, fit no rule and are allowed. Repeated rows are each judged;
-an empty table gives an empty result.
+Nulls and urls without "://" have an empty host and path, fit no rule and are allowed. Repeated rows and null ids are
+each judged; an empty table gives an empty result. Other columns of the input are passed over, whatever their names.
 """
 
 from __future__ import annotations
