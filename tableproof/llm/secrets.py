@@ -8,7 +8,7 @@ procedure over all candidates of the corpus picks its threshold, from a histogra
 secret is what the battery doesn't reject as random and the procedure rejects as natural.
 
 Everything is DataFrame functions; positions are code points, end exclusive. Nulls: a null text counts as empty.
-Repeated rows are each scanned; an empty table gives an empty result.
+Repeated rows and null ids are each scanned; an empty table gives an empty result. Other columns are passed over.
 """
 
 from __future__ import annotations
@@ -28,7 +28,9 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}+"
 KINDS = ("assign", "access", "hex", "random")
 ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
-#: k * sum(p^2) - 1 of natural strings over each alphabet: how fast their chi-squared grows with length.
+#: k * sum(p^2) - 1 of natural strings over each alphabet: how fast their chi-squared grows with length. Decimal digits
+#: in hexadecimal: 16 / 10 - 1; letters at the frequencies of English in base32: 32 * 0.0655 - 1, less for digits; words
+#: of such letters with a third of digits, capitals and joining characters in base64: 64 * (0.667 ** 2 * 0.0655 + 0.015) - 1.
 NATURAL = {"hex": 0.6, "base32": 1.0, "base64": 1.8}
 
 
@@ -78,7 +80,7 @@ def base_spans(text: Column) -> list[Column]:
 
 
 def normal_tail(z: Column) -> Column:
-    """P(Z > z), by a fixed polynomial good to seven digits."""
+    """P(Z > z), by a fixed polynomial good to seven digits; z is read several times, so it should be a bound value."""
     x = F.least(F.abs(z), F.lit(37.0))
     t = 1 / (1 + 0.2316419 * x)
     poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
@@ -90,42 +92,61 @@ def encoding_of(value: Column) -> Column:
     return F.when(value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), "hex").when(value.rlike("^[A-Z2-7]+=*$"), "base32").otherwise("base64")
 
 
+def _sums(codes: Column, half: Column) -> Column:
+    """One pass over the codes: their sum, sum of squares, sum of products of neighbours, how many reach half, changes."""
+    zero = F.lit(0.0)
+    start = F.struct(zero.alias("total"), zero.alias("squares"), zero.alias("products"), zero.alias("high"), zero.alias("changes"), F.lit(None).cast("double").alias("last"))
+
+    def step(acc: Column, x: Column) -> Column:
+        changed = (acc["last"] >= half) != (x >= half)
+        return F.struct(
+            (acc["total"] + x).alias("total"),
+            (acc["squares"] + x * x).alias("squares"),
+            (acc["products"] + F.coalesce(acc["last"] * x, zero)).alias("products"),
+            (acc["high"] + (x >= half).cast("double")).alias("high"),
+            (acc["changes"] + F.coalesce(changed.cast("double"), zero)).alias("changes"),
+            x.alias("last"),
+        )
+
+    return F.aggregate(codes, start, step)
+
+
 def battery(value: Column) -> Column:
-    """struct(code, n, p_random, p_natural) of one candidate."""
+    """struct(code, n, p_random, p_natural) of one candidate; the work grows in proportion to its length."""
     code = encoding_of(value)
     plain = F.rtrim(F.when(code == "hex", F.lower(value)).otherwise(F.translate(value, "-_", "+/")), F.lit("="))
-
-    def tests(s: Column) -> Column:
-        k = F.when(s["code"] == "hex", 16).when(s["code"] == "base32", 32).otherwise(64).cast("double")
-        alphabet = F.when(s["code"] == "hex", ALPHABETS["hex"]).when(s["code"] == "base32", ALPHABETS["base32"]).otherwise(ALPHABETS["base64"])
-        growth = F.when(s["code"] == "hex", NATURAL["hex"]).when(s["code"] == "base32", NATURAL["base32"]).otherwise(NATURAL["base64"])
-
-        def of(x: Column) -> Column:
-            n = F.size(x).cast("double")
-            total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v)
-            squares = total(F.transform(F.array_distinct(x), lambda c: F.pow(F.size(F.filter(x, lambda y: y == c)).cast("double"), F.lit(2.0))))
-            chi, mean = squares * k / n - n, k - 1
-            z_chi = (F.pow(F.greatest(chi, F.lit(1e-9)) / mean, F.lit(1 / 3)) - (1 - 2 / (9 * mean))) / F.sqrt(2 / (9 * mean))
-            high = F.transform(x, lambda v: (v >= k / 2).cast("double"))
-            n1 = total(high)
-            n2 = n - n1
-            changes = total(F.transform(F.sequence(F.lit(1), F.size(x) - 1), lambda i: F.abs(F.get(high, i) - F.get(high, i - 1))))
-            runs_mean = 2 * n1 * n2 / n + 1
-            runs_var = F.greatest((runs_mean - 1) * (runs_mean - 2) / (n - 1), F.lit(1e-9))
-            z_runs = F.abs(changes + 1 - runs_mean) / F.sqrt(runs_var)
-            middle = total(x) / n
-            spread = F.greatest(total(F.transform(x, lambda v: (v - middle) * (v - middle))), F.lit(1e-9))
-            serial = total(F.transform(F.sequence(F.lit(1), F.size(x) - 1), lambda i: (F.get(x, i) - middle) * (F.get(x, i - 1) - middle))) / spread
-            z_serial = F.abs(serial + 1 / n) * F.sqrt(n)
-            half = -(F.log(normal_tail(z_chi)) + F.log(F.least(2 * normal_tail(z_runs), F.lit(1.0))) + F.log(F.least(2 * normal_tail(z_serial), F.lit(1.0))))
-            fisher = F.exp(-half) * (1 + half + half * half / 2)
-            expected = mean + n * growth
-            natural = 1 - normal_tail((chi - expected) / F.sqrt(2 * mean + 4 * n * growth))
-            return F.struct(s["code"].alias("code"), F.size(x).alias("n"), fisher.alias("p_random"), F.greatest(natural, F.lit(1e-300)).alias("p_natural"))
-
-        return let(F.transform(F.split(s["plain"], ""), lambda c: (F.instr(alphabet, c) - 1).cast("double")), of)
-
-    return let(F.struct(code.alias("code"), plain.alias("plain")), tests)
+    by_code = lambda s, of: F.when(s["code"] == "hex", of["hex"]).when(s["code"] == "base32", of["base32"]).otherwise(of["base64"])
+    sizes = {name: float(len(alphabet)) for name, alphabet in ALPHABETS.items()}
+
+    def counted(s: Column) -> Column:
+        alphabet = by_code(s, ALPHABETS)
+        chars = F.split(s["plain"], "")
+        often = F.transform(F.array_distinct(chars), lambda c: (F.length(s["plain"]) - F.length(F.replace(s["plain"], c, F.lit("")))).cast("double"))
+        codes = F.transform(chars, lambda c: (F.instr(alphabet, c) - 1).cast("double"))
+        return let(codes, lambda x: F.struct(s["code"].alias("code"), by_code(s, sizes).alias("k"), F.size(x).cast("double").alias("n"), x[0].alias("first"), F.aggregate(often, F.lit(0.0), lambda acc, c: acc + c * c).alias("repeats"), _sums(x, by_code(s, sizes) / 2).alias("sums")))
+
+    def scored(t: Column) -> Column:
+        n, k, sums = t["n"], t["k"], t["sums"]
+        chi, mean = t["repeats"] * k / n - n, k - 1
+        z_chi = (F.pow(F.greatest(chi, F.lit(1e-9)) / mean, F.lit(1 / 3)) - (1 - 2 / (9 * mean))) / F.sqrt(2 / (9 * mean))
+        high = sums["high"]
+        runs_mean = 2 * high * (n - high) / n + 1
+        runs_var = F.greatest((runs_mean - 1) * (runs_mean - 2) / (n - 1), F.lit(1e-9))
+        z_runs = F.abs(sums["changes"] + 1 - runs_mean) / F.sqrt(runs_var)
+        middle = sums["total"] / n
+        spread = F.greatest(sums["squares"] - n * middle * middle, F.lit(1e-9))
+        beside = sums["products"] - middle * (2 * sums["total"] - t["first"] - sums["last"]) + (n - 1) * middle * middle
+        z_serial = F.abs(beside / spread + 1 / n) * F.sqrt(n)
+        growth = by_code(t, NATURAL)
+        z_natural = (chi - (mean + n * growth)) / F.sqrt(2 * mean + 4 * n * growth)
+        return F.transform(F.array(z_chi, z_runs, z_serial, z_natural), normal_tail)
+
+    def judged(t: Column, p: Column) -> Column:
+        half = -(F.log(p[0]) + F.log(F.least(2 * p[1], F.lit(1.0))) + F.log(F.least(2 * p[2], F.lit(1.0))))
+        fisher = let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2))
+        return F.struct(t["code"].alias("code"), t["n"].cast("int").alias("n"), fisher.alias("p_random"), F.greatest(1 - p[3], F.lit(1e-300)).alias("p_natural"))
+
+    return let(F.struct(code.alias("code"), plain.alias("plain")), lambda s: let(counted(s), lambda t: let(scored(t), lambda p: judged(t, p))))
 
 
 def length_class(n: Column) -> Column:
