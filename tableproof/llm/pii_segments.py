@@ -2,16 +2,17 @@
 
 The base finds emails, ip addresses, payment cards and phone numbers of the plain forms. Around runs of digits, "@" and
 spelt-out "at", candidate segments of up to max_tokens tokens, and written-out addresses of whole words of any length,
-are scored as wholes (shape, digit groups, checksum, context, length) by type; dynamic programming over all ways to cut a region into entities and single other tokens
-chooses boundaries and types together, with learned transitions between neighbouring segments. A segment is added if
+are scored as wholes (shape, digit groups, checksum, context, length) by type; dynamic programming over all ways to cut a
+region into entities and single other tokens chooses boundaries and types together, with transitions between
+neighbouring segments that are learned with the features: both follow the gradient of the likelihood, gold less expected. A segment is added if
 the best cut has it, its posterior is high and no base span overlaps it.
 
 The field is fitted on the driver: base spans of a bounded sample of documents are its positive examples, in their own
 form and rewritten (no plus sign, dots for dashes, "at" and "dot" spelt out), other numbers of those texts and made-up
 ones (dates, prices, versions, numbers that fail the checksum) its negative ones. Every whole text is scanned.
 
-Nulls: a null text is empty. Repeated rows are each scanned; an empty table gives an empty result. Positions are code
-points, end exclusive.
+Nulls: a null text is empty. Repeated rows and null ids are each scanned; an empty table gives an empty result. Other
+columns are passed over, whatever their names. Positions are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,6 +53,10 @@ class PiiSpec:
     examples: int = 1_200
     epochs: int = 8
     max_tokens: int = 20
+    #: Longer runs of digits and their separators (a list of numbers) are cut in windows of so many characters that
+    #: overlap by twice the margin; each window gives the entities that begin in its middle part.
+    window: int = 4_000
+    margin: int = 200
     #: How sure the field must be that an entity of the kind is there, over all its boundaries.
     posterior: float = 0.9
     seed: int = 11
@@ -121,6 +127,8 @@ CONTEXT = {"tel": "tel", "phone": "tel", "call": "tel", "mobile": "tel", "fax":
 class Region:
     tokens: list[tuple[int, int]]
     candidates: list[tuple[int, int, int, tuple[str, ...]]]  # first token, end token, kind, features
+    #: Entities that begin outside of this part of the text belong to another window of a long run.
+    core: tuple[int, int] | None = None
 
 
 def regions(text: str, spec: PiiSpec) -> Iterator[Region]:
@@ -128,9 +136,11 @@ def regions(text: str, spec: PiiSpec) -> Iterator[Region]:
     if re.search("[0-9]", text):
         for m in NUMBERS.finditer(text):
             if m.end() - m.start() >= 7 and sum(c.isdigit() for c in m[0]) >= 4:
-                region = _region(text, m.start(), m.end(), spec, False)
-                if region.candidates:
-                    yield region
+                for start, end, core in windows(text, m.start(), m.end(), spec):
+                    region = _region(text, start, end, spec, False)
+                    region.core = core
+                    if region.candidates:
+                        yield region
     for start, end in written(text):
         region = _region(text, start, end, spec, True)
         if region.candidates:
@@ -146,6 +156,27 @@ def written(text: str) -> Iterator[tuple[int, int]]:
         done = m.end()
 
 
+def windows(text: str, start: int, end: int, spec: PiiSpec) -> Iterator[tuple[int, int, tuple[int, int]]]:
+    """Start, end and middle part of the windows that a long run is read in; a short one is a single window.
+
+    Windows begin and end between tokens, unless a run of digits is as long as a margin.
+    """
+    if end - start <= spec.window:
+        yield start, end, (start, end)
+        return
+
+    def between(at: int) -> int:
+        low = max(start, at - spec.margin // 2)
+        while at > low and text[at - 1].isdigit() and text[at].isdigit():
+            at -= 1
+        return at
+
+    step = spec.window - 2 * spec.margin
+    cuts = [start, *(between(at) for at in range(start + step, end - spec.margin, step)), end]
+    for lo, hi in zip(cuts, cuts[1:]):
+        yield (between(lo - spec.margin) if lo > start else start), (between(hi + spec.margin) if hi + spec.margin < end else end), (lo, hi)
+
+
 def _region(text: str, start: int, end: int, spec: PiiSpec, written: bool) -> Region:
     tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text, start, end)]
     found = []
@@ -287,6 +318,32 @@ def posteriors(region: Region, scores: list[float], moves: list[list[float]]) ->
     return out
 
 
+def expected_moves(region: Region, scores: list[float], moves: list[list[float]]) -> list[list[float]]:
+    """How often each type follows each type, as the field expects it."""
+    ahead, behind, whole = _lattice(region, scores, moves)
+    states = OTHER + 1
+    out = [[0.0] * states for _ in range(states)]
+    for t in range(len(region.tokens)):
+        for p in range(states):
+            out[p][OTHER] += math.exp(min(0.0, ahead[t][p] + moves[p][OTHER] + behind[t + 1][OTHER] - whole))
+    for c, (i, j, kind, _) in enumerate(region.candidates):
+        for p in range(states):
+            out[p][kind] += math.exp(min(0.0, ahead[i][p] + moves[p][kind] + scores[c] + behind[j][kind] - whole))
+    return out
+
+
+def gold_moves(region: Region, goal: list[float]) -> list[list[float]]:
+    """How often each type follows each type in the cut whose entities are the candidates with goal 1."""
+    out = [[0.0] * (OTHER + 1) for _ in range(OTHER + 1)]
+    entities = {i: (j, kind) for (i, j, kind, _), want in zip(region.candidates, goal, strict=True) if want}
+    last, t = OTHER, 0
+    while t < len(region.tokens):
+        end, kind = entities.get(t, (t + 1, OTHER))
+        out[last][kind] += 1
+        last, t = kind, end
+    return out
+
+
 def decode(region: Region, scores: list[float], moves: list[list[float]]) -> list[int]:
     """Candidates of the best cut of the region."""
     n, states = len(region.tokens), OTHER + 1
@@ -325,6 +382,7 @@ def fit(texts: list[str], spec: PiiSpec = PiiSpec()) -> SegmentField:
     weights: Weights = {"bias": [-2.0] * OTHER}
     seen: Weights = {"bias": [1.0] * OTHER}
     moves = [[0.0] * (OTHER + 1) for _ in range(OTHER + 1)]
+    seen_moves = [[1.0] * (OTHER + 1) for _ in range(OTHER + 1)]
     prepared = []
     for text, gold in examples:
         for region in regions(text, spec):
@@ -343,12 +401,12 @@ def fit(texts: list[str], spec: PiiSpec = PiiSpec()) -> SegmentField:
                 w, s = weights.setdefault(f, [0.0] * OTHER), seen.setdefault(f, [1.0] * OTHER)
                 s[kind] += g * g
                 w[kind] += 0.5 * g / math.sqrt(s[kind])
-            # neighbouring entities: gold cuts hardly ever have them, the lattice's own expectation is pushed down
-            crowd = sum(expected) - sum(goal)
-            if crowd > 0:
-                for p in range(OTHER):
-                    for q in range(OTHER):
-                        moves[p][q] = max(-3.0, moves[p][q] - 0.01 * crowd)
+            want, got = gold_moves(region, goal), expected_moves(region, _scores(region, weights), moves)
+            for p in range(OTHER + 1):
+                for q in range(OTHER + 1):
+                    g = want[p][q] - got[p][q]
+                    seen_moves[p][q] += g * g
+                    moves[p][q] += 0.1 * g / math.sqrt(seen_moves[p][q])
     return SegmentField(weights, moves)
 
 
@@ -378,6 +436,7 @@ def _examples(texts: list[str], spec: PiiSpec, rng: random.Random) -> list[tuple
         before, _, after = rng.choice(FRAMES).partition("{}")
         value = _made(kind, rng)
         out.append(_framed(before, value if rng.random() < 0.4 else _other_form(value, kind, rng), kind, after))
+    out += [_listed(rng) for _ in range(spec.examples // 4)]
     out += [(text, _gold(text)) for text in plain[: spec.examples]]
     for _ in range(spec.examples // 2):
         before, _, after = rng.choice(FRAMES).partition("{}")
@@ -397,6 +456,20 @@ def _framed(before: str, value: str, kind: int, after: str) -> tuple[str, set[tu
     return before + value + after, gold
 
 
+def _listed(rng: random.Random) -> tuple[str, set[tuple[int, int, int]]]:
+    """A list of values of one kind, or of other numbers, in one form with only blanks or dashes between."""
+    kind, seed, gap = rng.randrange(1, OTHER + 1), rng.random(), rng.choice((" ", " ", "  ", " - ", " / "))
+    text, gold = "", set()
+    for _ in range(rng.randrange(2, 6)):
+        if kind == OTHER:
+            value = _innocent(random.Random(seed))
+        else:
+            value = _made(kind, rng) if seed < 0.3 else _other_form(_made(kind, rng), kind, random.Random(seed))
+            gold.add((kind, len(text), len(text) + len(value)))
+        text += value + gap
+    return text[: -len(gap)], gold
+
+
 def _other_form(value: str, kind: int, rng: random.Random) -> str:
     if kind == 0 and "@" in value:
         local, _, domain = value.partition("@")
@@ -436,25 +509,57 @@ def _innocent(rng: random.Random) -> str:
     return rng.choice((f"{year}-0{rng.randrange(1, 9)}-1{rng.randrange(9)}", f"1{rng.randrange(9)}/0{rng.randrange(1, 9)}/{year}", f"{year}-{year}", bad, f"{bad[:4]} {bad[4:8]} {bad[8:12]} {bad[12:]}", f"{rng.randrange(1, 30)}.{rng.randrange(9)}.{rng.randrange(9)}.{rng.randrange(400, 9999)}", f"{number(3)}.{number(3)},{number(2)}", number(rng.choice((7, 8, 9, 11, 12, 13))), f"ISBN 978-{number(1)}-{number(4)}-{number(4)}-{number(1)}", f"{number(4)} {number(4)}", f"{year}-01-01 12:{number(2)}:{number(2)}", rng.choice(("we meet at home dot and", "look at it dot then go", "at one dot or two", "he was at work dot dot dot")), f"{rng.choice(('we meet', 'he stayed', 'look', 'she arrived', 'it was sold'))} at {rng.choice(('home', 'noon', 'it', 'Paris', 'work', 'auction'))}. {rng.choice(('In', 'It', 'Us', 'De', 'Be', 'The', 'Then', 'Is', 'At', 'No'))} {rng.choice(('the end', 'all was well', 'that'))}", f"{number(2)} 000 000", f"#{number(10)}"))
 
 
+class Taken:
+    """Disjoint stretches of a text, to ask which parts of it are free; both questions take logarithmic time."""
+
+    def __init__(self, spans: list[Span]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, _, end in sorted(spans):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def meets(self, a: int, b: int) -> bool:
+        at = bisect_left(self.starts, b)
+        return at > 0 and self.ends[at - 1] > a
+
+    def add(self, a: int, b: int) -> None:
+        at = bisect_left(self.starts, a)
+        self.starts.insert(at, a)
+        self.ends.insert(at, b)
+
+
 def added_spans(text: str, base: list[Span], model: SegmentField, spec: PiiSpec) -> list[Span]:
     out: list[Span] = []
+    taken = Taken(base)
+    spans = set(base)
     for region in regions(text, spec):
         lo, hi = region.tokens[0][0], region.tokens[-1][1]
-        if any(s <= lo and hi <= e for s, _, e in base):
+        if any((lo, kind, hi) in spans for kind in range(OTHER)):
             continue  # one base span is the whole region: nothing can be added
         scores = _scores(region, model.weights)
-        if max(scores) <= 0:
+        if max(scores) <= 0 and all(m <= 0 for row in model.moves for m in row):
             continue  # no cut with an entity beats the one without
         chosen = decode(region, scores, model.moves)
         if not chosen:
             continue
         sure = posteriors(region, scores, model.moves)
+        # candidates come by their first token: those that overlap an entity begin within the longest one's reach
+        firsts = [i for i, *_ in region.candidates]
+        reach = max(j - i for i, j, *_ in region.candidates)
         for c in chosen:
             i, j, kind, _ = region.candidates[c]
             a, b = region.tokens[i][0], region.tokens[j - 1][1]
-            there = sum(p for p, (x, y, k, _) in zip(sure, region.candidates, strict=True) if k == kind and x < j and i < y)
-            if there >= spec.posterior and not any(s < b and a < e for s, _, e in [*base, *out]):
+            if region.core and not region.core[0] <= a < region.core[1]:
+                continue
+            near = range(bisect_left(firsts, i - reach + 1), bisect_left(firsts, j))
+            there = sum(sure[n] for n in near if region.candidates[n][2] == kind and region.candidates[n][1] > i)
+            if there >= spec.posterior and not taken.meets(a, b):
                 out.append((a, kind, b))
+                taken.add(a, b)
     return out
 
 
