@@ -10,8 +10,9 @@ role, class or id marks them as navigation, advert, form, comment and the like.
 texts in an article need more support to go, and on a page with an article, blocks outside it stay only in slots of the
 template. Hosts without a template have the marks alone.
 
-Whole pages are read; nulls count as empty. Pages without "://" in their url share one host. Repeated rows are each
-extracted; pages of one content count once for the template. An empty table gives an empty result.
+Whole pages are read, twice: for tokens and for text; nulls count as empty. Pages without "://" in their url share one host. Repeated rows are each
+extracted, as are those with null ids; pages of one content count once for the template. An empty table gives an empty
+result. Other columns are passed over, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableproof.llm.common import hold, ship
+from tableproof.llm.common import hold, join_hot, ship
 from tableproof.llm.url_filter import host_of
 
 ship(__name__)
@@ -40,6 +41,8 @@ BAD_ELEMENTS = {"nav", "footer", "aside", "form", "head", "dialog", "menu", "but
 BAD_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 BAD_WORDS = set("ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored banner promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search menu nav navbar navigation breadcrumb breadcrumbs sidebar widget widgets related recommended recommendations share sharing social footer masthead topbar toolbar comment comments commentlist replies reply respond disqus pagination pager skip".split())
 ARTICLE_WORDS = {"articlebody"}
+#: Names that tell what a container has beside or in it ("has-comments", "layout-with-sidebar"), not what it is.
+ABOUT = re.compile(r"(?<![a-z])(?:has|have|with|without|no|show|hide|is)[-_]+[a-z0-9]+")
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*(?:>|\Z)|</?[A-Za-z][^<>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -74,20 +77,26 @@ class Block:
 
 
 def blocks(html: str) -> list[Block]:
-    """The page's blocks of text in order."""
+    """The page's blocks of text in order.
+
+    A container marked as no article takes all it holds with it, unless the article is in it: then it is the page's
+    layout (a form or a "with-sidebar" around everything) and its mark counts for nothing.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, str, tuple[int, ...], bool, int]] = []  # element, path, opened, bad, article
+    stack: list[tuple[str, str, tuple[int, ...], bool, int]] = []  # element, path, opened, hidden, article
     pieces: list[str] = []
     link, linked, at, serial = 0, 0, 0, 0
+    marks: set[int] = set()  # serial numbers of marked containers
+    layout: set[int] = set()  # and of those that hold an article
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(unescape("".join(pieces)).split()) if pieces else ""
         pieces.clear()
         if text:
-            _, path, opened, bad, article = stack[-1] if stack else ("", "", (), False, 0)
+            _, path, opened, hidden, article = stack[-1] if stack else ("", "", (), False, 0)
             words = text.count(" ") + 1
-            out.append(Block(path, opened, bad, article, words, min(linked, words), text))
+            out.append(Block(path, opened, hidden, article, words, min(linked, words), text))
         linked = 0
 
     while at < len(html):
@@ -127,27 +136,36 @@ def blocks(html: str) -> list[Block]:
             continue
         if name in VOID or (m[3] or "").rstrip().endswith("/"):
             continue
-        _, path, opened, bad, article = stack[-1] if stack else ("", "", (), False, 0)
-        label, marked, is_article = _marks(name, m[3] or "", article > 0)
+        _, path, opened, hidden, article = stack[-1] if stack else ("", "", (), False, 0)
+        label, marked, unseen, is_article = _marks(name, m[3] or "", article > 0)
         serial += 1
+        if marked:
+            marks.add(serial)
+        if is_article and not (hidden or unseen):
+            layout.update(opened)
         opened = (*opened, serial)
-        stack.append((name, f"{path}/{label}", opened, bad or marked, len(opened) if is_article else article))
+        stack.append((name, f"{path}/{label}", opened, hidden or unseen, len(opened) if is_article else article))
     flush()
+    marks -= layout
+    for b in out if marks else ():
+        b.bad = b.bad or not marks.isdisjoint(b.opened)
     return out
 
 
-def _marks(name: str, attributes: str, inside: bool) -> tuple[str, bool, bool]:
-    """A container's label, whether it is marked as no article, whether as the article."""
+def _marks(name: str, attributes: str, inside: bool) -> tuple[str, bool, bool, bool]:
+    """A container's label, whether it is marked as no article, whether hidden, whether marked as the article."""
     if not attributes.strip():
-        return name, name in BAD_ELEMENTS or (name == "header" and not inside), name in ("article", "main")
+        return name, name in BAD_ELEMENTS or (name == "header" and not inside), False, name in ("article", "main")
     found: dict[str, str] = {}
     for a in ATTRIBUTE.finditer(attributes):
         found.setdefault(a[1].lower(), (a[2] or a[3] or a[4] or "").lower())
-    words = set(re.split(r"[^a-z]+", f"{found.get('class', '')} {found.get('id', '')}"))
-    bad = name in BAD_ELEMENTS or (name == "header" and not inside) or found.get("role") in BAD_ROLES or "hidden" in found or "display:none" in found.get("style", "").replace(" ", "") or (bool(words & BAD_WORDS) and name not in ("html", "body")) or ("header" in words and not inside and name not in ("html", "body"))
+    words = set(re.split(r"[^a-z]+", ABOUT.sub(" ", f"{found.get('class', '')} {found.get('id', '')}")))
+    hidden = "hidden" in found or "display:none" in found.get("style", "").replace(" ", "")
+    named = words & BAD_WORDS or ("header" in words and not inside)
+    bad = name in BAD_ELEMENTS or (name == "header" and not inside) or found.get("role") in BAD_ROLES or (bool(named) and name not in ("html", "body"))
     article = name in ("article", "main") or found.get("role") in ("main", "article") or found.get("itemprop") in ARTICLE_WORDS
     label = name + "".join(f".{re.sub('[0-9]+', '0', c)}" for c in sorted(found.get("class", "").split())) + (f"#{re.sub('[0-9]+', '0', found['id'])}" if found.get("id") else "")
-    return label, bad, article and not bad
+    return label, bad, hidden, article and not bad
 
 
 def _mark(value: str) -> int:
@@ -157,9 +175,14 @@ def _mark(value: str) -> int:
     return n - (1 << 64) if n >= 1 << 63 else n
 
 
+PAGE = _mark("\x00page")
+
+
 def page_tokens(html: str | None) -> list[tuple[int, int, int, bool, bool, int, int, int]]:
     """token, path (its container), parent, whether it is a text, whether in an article, count, words, words in links.
 
+    The first token is the page itself (PAGE); a page without text has no tokens.
+
     Containers are counted as often as they are opened around text. Texts marked as no article need no template to go.
     An article container is not in an article itself.
     """
@@ -179,7 +202,8 @@ def page_tokens(html: str | None) -> list[tuple[int, int, int, bool, bool, int,
             at = count.setdefault((b.path, b.text), [0, 0, 0, 0])
             at[0] |= b.article > 0
             at[1] += 1
-    return [(_mark(f"{path}\x00{text}"), _mark(f"{path}\x00"), _mark(path.rpartition("/")[0] + "\x00"), text != "", bool(inner), *values) for (path, text), (inner, *values) in count.items()]
+    page = [(PAGE, PAGE, PAGE, True, False, 1, 0, 0)] if count else []
+    return page + [(_mark(f"{path}\x00{text}"), _mark(f"{path}\x00"), _mark(path.rpartition("/")[0] + "\x00"), text != "", bool(inner), *values) for (path, text), (inner, *values) in count.items()]
 
 
 def main_text(html: str | None, slots: set[int], texts: set[int], nested: set[int] = frozenset()) -> str:
@@ -215,10 +239,12 @@ def tokens_of(pages: DataFrame, html_column: str, host: Column) -> DataFrame:
 
 def templates(tokens: DataFrame, spec: TemplateSpec) -> DataFrame:
     """host, slots (containers that are lists of links), texts (fixed ones) and nested (containers) of each template."""
-    pages = tokens.groupBy("host", "page").agg(F.lit(1).alias("_")).groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= spec.min_pages)
+    # vectors are summed over distinct pages, so rows that repeat a page change nothing
     vectors = tokens.groupBy("host", "token", "path", "parent", "is_text").agg(F.count(F.lit(1)).alias("on"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.sum("words").alias("words"), F.sum("linked").alias("linked"), F.bool_or("inner").alias("inner"))
-    # most texts are on one page only: they go before the join
-    repeated = vectors.where(F.col("on") >= spec.support * spec.min_pages)
+    # most texts are on one page only: they go before anything is written
+    repeated = hold(vectors.where(F.col("on") >= spec.support * spec.min_pages))
+    pages = repeated.where((F.col("token") == PAGE) & (F.col("on") >= spec.min_pages)).select("host", F.col("on").alias("pages"))
+    repeated = repeated.where(F.col("token") != PAGE)
     frequent = hold(repeated.join(pages, "host").where(F.col("on") >= spec.support * F.col("pages")))
     firm = ~F.col("inner") | (F.col("on") >= spec.article_support * F.col("pages"))
     classes = frequent.groupBy("host", "on", "vector").agg(F.count(F.lit(1)).alias("tokens")).where(F.col("tokens") >= spec.min_tokens)
@@ -248,10 +274,6 @@ def extract(pages: DataFrame, spec: TemplateSpec = TemplateSpec(), *, id_column:
             yield pd.Series([main_text(h, *(set(s) if s is not None else set() for s in of)) for h, *of in zip(html, *sets, strict=True)], dtype=object)
 
     rows = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).cast("string").alias("url"), F.col(html_column).cast("string").alias("html"), host.alias("host"))
-    if found.count() <= spec.broadcast_hosts:
-        joined = rows.join(F.broadcast(found), "host", "left")
-    else:
-        salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
-        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(64)).cast("int")).join(salted, ["host", "salt"], "left")
+    joined = join_hot(rows, found, "host", ["page_id", "url"], spec.broadcast_hosts, how="left")
     texts = joined.select("page_id", "url", text_of("html", "slots", "texts", "nested").alias("text"), F.coalesce("template_tokens", F.lit(0)).alias("template_tokens"))
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "template_tokens")
