@@ -6,11 +6,14 @@ Jaccard similarity and (nearly) uncorrelated. Bands of the signature propose can
 
 Documents with equal sets form one class (its smallest id stands for it), so copies cost nothing further. In each
 bucket of a few bands the members are compared with one hub, not with each other: whatever links to the hub is
-connected. What is left are pairs of different components that share a bucket. They are settled by their components'
-centres: one minus the similarity is a metric, so if the centres are further apart than the two radii and the
-threshold, no member of one links with a member of the other. Only where that bound leaves it open are members
-compared, those whose own distances to their centres allow a link. So no group is expanded into all pairs, and no pair
-that shares a bucket is left undecided.
+connected. Buckets that still hold several components get an anchor each, mostly the same one for all buckets around
+one text, and every member of theirs is compared with it, which gives the shingles by which it differs from the anchor.
+If two members link and at least one isn't linked with the anchor (else the anchor connects them), their differences
+must share more shingles than chance gives: |D1 & D2| >= (|D1| + |D2| - r * (n1 + n2)) / 2, with r = (1 - t) / (1 + t).
+So only members of different components whose differences meet in their rarest shingles (a prefix filter) are compared.
+That is exact for all members of an anchor, expands no group into all pairs, and leaves no bucket undecided.
+
+Sets are confirmed as sets of 64-bit shingle hashes.
 
 Nulls: a null text is empty; empty texts have no shingles and link with nothing. A null id gets no component and is
 kept. Rows that share an id count as linked. An empty table gives an empty result.
@@ -185,8 +188,12 @@ def signatures(docs: DataFrame, rules: NearDupRules, id_column: str, text_column
     return rows.mapInArrow(sign, "doc_id long, n long, f1 long, f2 long, keys array<long>")
 
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame, rules: NearDupRules) -> DataFrame:
-    """a, b, linked, distance (1 - similarity) for each pair (a, b): compared on the full sets of texts (id, text)."""
+def similar_pairs(pairs: DataFrame, texts: DataFrame, rules: NearDupRules, *, salts: int = 64) -> DataFrame:
+    """a, b, linked, n (size of b's set) and delta (shingles of one of both sets) for each pair (a, b).
+
+    They are compared on the full sets of texts (id, text). A hub's text is dealt out over salts, so that the pairs of
+    one hub meet in many tasks.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in portions(whole, "tb")):
@@ -194,18 +201,21 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, rules: NearDupRules) -> Da
             for side in ("ta", "tb"):
                 encoded = pc.dictionary_encode(batch.column(side))  # a hub's text comes once for each of its pairs
                 both[side] = (list(shingle_sets(encoded.dictionary, rules.width)), encoded.indices.to_pylist())
-            linked, distance = [], []
+            linked, sizes, deltas = [], [], []
             for i, j in zip(both["ta"][1], both["tb"][1], strict=True):
                 x, y = both["ta"][0][i], both["tb"][0][j]
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                union = len(x) + len(y) - common
-                linked.append(100 * common >= rules.percent * union)
-                distance.append(1.0 - common / max(union, 1))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(distance, pa.float64())], names=["a", "b", "linked", "distance"])
+                delta = np.setxor1d(x, y, assume_unique=True)
+                linked.append((100 + rules.percent) * len(delta) <= (100 - rules.percent) * (len(x) + len(y)))
+                sizes.append(len(y))
+                deltas.append(delta.view(np.int64))
+            offsets = pa.array(np.cumsum([0, *(len(d) for d in deltas)]).astype(np.int32))
+            delta = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(deltas) if deltas else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(sizes, pa.int64()), delta], names=["a", "b", "linked", "n", "delta"])
 
-    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    rows = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return rows.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long, linked boolean, distance double")
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)))
+    hubs = salted.select("a", "salt").distinct().join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    spokes = salted.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    return spokes.join(hubs, ["a", "salt"]).select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long, linked boolean, n long, delta array<long>")
 
 
 def _fits(x: str, y: str, rules: NearDupRules):
@@ -218,39 +228,67 @@ def class_components(classes: DataFrame, docs: DataFrame, rules: NearDupRules, i
     members = classes.select(F.col("rep").alias("id"), "n", F.posexplode("keys").alias("band", "key"))
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("id", "n")).alias("hub")).where(F.col("members") > 1)
     # buckets of one class can't propose anything; the others are few and held for what follows
-    crowded = hold_fit(members.join(sizes, "key").select("key", "band", "id", "n", F.col("hub.id").alias("id2"), F.col("hub.n").alias("n2")))
+    crowded = hold_fit(members.join(sizes, "key").select("key", "band", "id", "n", "members", F.col("hub.id").alias("id2"), F.col("hub.n").alias("n2")))
     pairs = crowded.where((F.col("band") < rules.first_bands) & (F.col("id") != F.col("id2")) & _fits("n", "n2", rules)).select(F.col("id2").alias("a"), F.col("id").alias("b")).distinct()
     linked = hold_fit(_verify(pairs, texts, rules).where("linked").select("a", "b"))
-    found = hold_fit(components(linked))
-    more = _open_links(crowded.select("key", "id", "n"), found, classes.select("rep", "n"), texts, rules)
+    more = _open_links(crowded.select("key", "id", "n", "members"), linked, texts, rules)
     return hold_fit(components(linked.unionByName(more)))
 
 
-def _open_links(crowded: DataFrame, found: DataFrame, sizes: DataFrame, texts: DataFrame, rules: NearDupRules) -> DataFrame:
-    """a, b: links between classes of different components that share a bucket, or between their components' centres."""
-    reach = 1 - rules.percent / 100 + 1e-9
-    spokes = found.where(F.col("node") != F.col("component")).select(F.col("component").alias("a"), F.col("node").alias("b"))
-    spokes = hold_fit(_verify(spokes, texts, rules).select(F.col("a").alias("component"), F.col("b").alias("id"), "distance"))
-    placed = crowded.join(spokes, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"), F.coalesce("distance", F.lit(0.0)).alias("distance"))
-    placed = hold_fit(placed)
-    # components, their radius, members and their centre's size, by the component's centre
-    radii = spokes.groupBy("component").agg(F.max("distance").alias("radius"), F.count(F.lit(1)).alias("others"))
-    about = hold_fit(placed.select("component").distinct().join(radii, "component", "left").join(sizes.withColumnRenamed("rep", "component"), "component").select("component", F.coalesce("radius", F.lit(0.0)).alias("radius"), F.coalesce("others", F.lit(0)).alias("others"), F.col("n").alias("size")))
-    parts = hold_fit(placed.select("key", "component").distinct().join(about, "component"))
-    second = parts.select("key", *[F.col(c).alias(c + "2") for c in about.columns])
-    # sets of different sizes are at least so far apart
-    apart = 1 - F.least("size", "size2") / F.greatest("size", "size2")
-    near = (F.col("component") < F.col("component2")) & (apart - F.col("radius") - F.col("radius2") <= reach)
-    met = parts.join(second, "key").where(near).select(F.col("component").alias("a"), F.col("component2").alias("b")).distinct()
-    centres = hold_fit(_verify(met, texts, rules))
-    left, right = about.select(F.col("component").alias("a"), F.col("radius").alias("ra"), F.col("others").alias("ma")), about.select(F.col("component").alias("b"), F.col("radius").alias("rb"), F.col("others").alias("mb"))
-    unsettled = centres.where(~F.col("linked")).join(left, "a").join(right, "b").where(F.col("distance") - F.col("ra") - F.col("rb") <= reach).where((F.col("ma") > 0) | (F.col("mb") > 0))
-    # the smaller component's members look for partners in the larger one's part of their buckets
-    turned = unsettled.select(F.when(F.col("ma") >= F.col("mb"), F.col("a")).otherwise(F.col("b")).alias("large"), F.when(F.col("ma") >= F.col("mb"), F.col("b")).otherwise(F.col("a")).alias("component"), F.col("distance").alias("between"))
-    seekers = hold_fit(placed.join(turned, "component").select("key", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("large").alias("component"), (F.col("between") - F.col("distance") - reach).alias("least")))
-    pairs = placed.join(seekers, ["key", "component"]).where((F.col("distance") >= F.col("least")) & _fits("n", "n2", rules)).select(F.col("id").alias("a"), "b").distinct()
-    deep = _verify(pairs, texts, rules)
-    return centres.where("linked").select("a", "b").unionByName(deep.where("linked").select("a", "b"))
+def _placed(rows: DataFrame, found: DataFrame, id_column: str = "id") -> DataFrame:
+    """rows with the component of id_column; what links with nothing is a component of its own."""
+    return rows.join(found.withColumnRenamed("node", id_column), id_column, "left").withColumn("component", F.coalesce("component", id_column))
+
+
+def _anchored(crowded: DataFrame, found: DataFrame) -> DataFrame:
+    """a, b: each class b of a bucket that holds several components, with the bucket's anchor a.
+
+    A component's anchor is its member with most bucket mates; a bucket takes the anchor of its largest component, so
+    buckets around one text nearly always share one.
+    """
+    nodes = _placed(crowded.groupBy("id").agg(F.sum("members").alias("mates")), found)
+    chosen = nodes.groupBy("component").agg(F.max(F.struct("mates", F.col("id"))).alias("best"), F.count(F.lit(1)).alias("weight"))
+    known = hold_fit(nodes.join(chosen, "component").select("id", "component", F.struct("weight", F.col("best.mates").alias("mates"), F.col("best.id").alias("a")).alias("anchor")))
+    placed = crowded.select("key", "id").join(known, "id")
+    several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("anchor").alias("anchor")).where(F.col("low") != F.col("high"))
+    return crowded.select("key", F.col("id").alias("b")).join(several.select("key", F.col("anchor.a").alias("a")), "key").select("a", "b").where(F.col("a") != F.col("b")).distinct()
+
+
+def _open_links(crowded: DataFrame, linked: DataFrame, texts: DataFrame, rules: NearDupRules) -> DataFrame:
+    """a, b: links that join components of linked, for all buckets that hold several of them."""
+    met = hold_fit(_verify(_anchored(crowded, hold_fit(components(linked))), texts, rules), 20_000)
+    to_anchor = met.where("linked").select("a", "b")
+    found = hold_fit(components(linked.unionByName(to_anchor)))
+    members = hold_fit(_placed(met, found, "b").select("a", "b", "component", "linked", "n", F.size("delta").cast("long").alias("s"), "delta"), 20_000)
+    pairs = _delta_pairs(members, rules)
+    return to_anchor.unionByName(_verify(pairs, texts, rules).where("linked").select("a", "b"))
+
+
+def _delta_pairs(members: DataFrame, rules: NearDupRules) -> DataFrame:
+    """a, b: members of one anchor and different components that may link: their differences meet in a prefix.
+
+    members: a (the anchor), b, component, linked (b with a), n (size of b's set), s and delta (how it differs from a's).
+    A member's differences are ordered so that those come first that no two components share, then rare ones; of two
+    sets with i elements in common, the first |D| - i + 1 of each in one order have one in common.
+    """
+    # all numbers times 2 * (100 + percent), so that they are whole
+    unit, r = 100 + rules.percent, 100 - rules.percent
+    each = members.select("a", "component", F.explode("delta").alias("e"))
+    uses = each.groupBy("a", "e").agg(F.count(F.lit(1)).alias("uses"), F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") != F.col("high")).select("a", "e", "uses")
+    met = members.select("a", "b", F.explode("delta").alias("e")).join(uses, ["a", "e"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("uses", "e"))).alias("met"))
+    ranked = members.drop("delta").join(met, ["a", "b"])
+    # the least overlap with any partner: one linked with the anchor (a set of n - s at least) has partners that aren't;
+    # a partner of any other is at most n * 100 / percent large, and no closer to the anchor than the triangle allows
+    triangle = 2 * unit * F.col("s") - 2 * r * F.col("n") - F.ceil(200 * r * F.col("n") / rules.percent)
+    least = F.greatest(F.when(F.col("linked"), (unit - r) * F.col("s")).otherwise(triangle), F.lit(0))
+    listed = ranked.withColumn("least", least).withColumn("lead", F.col("s") - F.size("met")).select("a", "b", "component", "n", "s", "least", "lead", F.posexplode("met").alias("i", "at"))
+    heads = listed.select("a", F.col("at.e").alias("e"), "b", "component", "n", "s", "least", (F.col("lead") + F.col("i")).alias("place")).where(2 * unit * (F.col("s") - F.col("place")) >= F.col("least")).drop("least")
+    heads = hold_fit(heads)
+    other = heads.select("a", "e", *[F.col(c).alias(c + "2") for c in ("b", "component", "n", "s", "place")])
+    overlap = unit * (F.col("s") + F.col("s2")) - r * (F.col("n") + F.col("n2"))
+    room = 2 * unit * F.least(F.col("s") - F.col("place"), F.col("s2") - F.col("place2"))
+    close = (F.col("b") < F.col("b2")) & (F.col("component") != F.col("component2")) & _fits("n", "n2", rules) & (room >= overlap)
+    return heads.join(other, ["a", "e"]).where(close).select(F.col("b").alias("x"), F.col("b2").alias("y")).distinct().toDF("a", "b")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, rules: NearDupRules) -> DataFrame:
