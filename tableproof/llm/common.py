@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tableproof.plans.held import hold, shared_folder
 
-__all__ = ["WORD", "WS", "batches_of", "benchmark", "broadcast_if", "documents", "free_name", "hold", "hold_fit", "join_hot", "let", "pages", "shared_folder", "ship", "word_count", "words"]
+__all__ = ["WORD", "WS", "batches_of", "benchmark", "broadcast_if", "documents", "free_name", "give_back", "hold", "hold_fit", "join_hot", "let", "pages", "shared_folder", "ship", "word_count", "words"]
 
 #: Words are runs of anything but the ASCII white space of this class.
 WS = r"[\x20\x09-\x0D]+"
@@ -24,6 +25,19 @@ def ship(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+ship(__name__)
+
+
+def give_back() -> None:
+    """Memory that arrow and the C library keep after large batches goes back to the system: workers and driver live on."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row.
 
@@ -46,7 +60,7 @@ def word_count(text: Column) -> Column:
 def hold_fit(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """hold(df) in tasks of about so many rows: small tables of many partitions make many small files otherwise."""
     held = hold(df)
-    tasks = held.count() // rows + 1
+    tasks = held._jdf.queryExecution().toRdd().count() // rows + 1  # a plain job: the driver keeps no plan of it
     return held.coalesce(tasks) if tasks < held._jdf.rdd().getNumPartitions() else held
 
 

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableproof.llm.common import broadcast_if, hold, ship
+from tableproof.llm.common import broadcast_if, give_back, hold, ship
 
 ship(__name__)
 
@@ -299,6 +299,7 @@ def identify(docs: DataFrame, spec: LangIdSpec = LangIdSpec(), *, model: Field |
     """docs' rows as struct column row, with lang_pred, score, words (with letters) and label_shares beside it."""
     if model is None:
         model = fit(training_sample(docs, spec, id_column, text_column, lang_column, ~held_out(F.col(id_column))), spec)
+        give_back()
     plain = {k: v for k, v in vars(model).items() if k != "spec"}
     held, labels, spec = docs.sparkSession.sparkContext.broadcast(plain), model.labels, model.spec
 
@@ -317,6 +318,7 @@ def identify(docs: DataFrame, spec: LangIdSpec = LangIdSpec(), *, model: Field |
             pick = np.where(known, best, len(labels))
             score = np.where(known, share.max(axis=1, initial=0.0), 0.0)
             yield pd.DataFrame({"lang": names[pick], "score": np.clip(score, 0.0, 1.0), "words": lettered, "shares": [list(map(float, s)) for s in share]})
+        give_back()
 
     rows = docs.select(F.struct("*").alias("row"))
     return rows.select("row", label(F.col("row")[text_column].cast("string")).alias("p")).select("row", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"), F.col("p.words").alias("words"), F.map_from_arrays(F.array(*[F.lit(x) for x in labels]) if labels else F.array().cast("array<string>"), F.col("p.shares")).alias("label_shares"))

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableproof.llm.common import batches_of, broadcast_if, hold, hold_fit, ship
+from tableproof.llm.common import batches_of, broadcast_if, give_back, hold, hold_fit, ship
 from tableproof.llm.components import components
 
 ship(__name__)
@@ -183,6 +183,7 @@ def signatures(docs: DataFrame, rules: NearDupRules, id_column: str, text_column
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat))],
                 names=["doc_id", "n", "f1", "f2", "keys"],
             )
+        give_back()
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     return rows.mapInArrow(sign, "doc_id long, n long, f1 long, f2 long, keys array<long>")
@@ -211,6 +212,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, rules: NearDupRules, *, sa
             offsets = pa.array(np.cumsum([0, *(len(d) for d in deltas)]).astype(np.int32))
             delta = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(deltas) if deltas else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(sizes, pa.int64()), delta], names=["a", "b", "linked", "n", "delta"])
+        give_back()
 
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)))
     hubs = salted.select("a", "salt").distinct().join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
