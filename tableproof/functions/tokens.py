@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode has it, with the four separators U+001C to U+001F.
 SPACE = r"[\s\x1c-\x1f]"
+#: The same characters one by one.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Tokens that stand for a missing value (stripped, lower case).
 NULL_WORDS = ("", "na", "n/a", "null", "none", "-", "--", "nan")
 #: Boolean words, true ones first.
@@ -31,7 +33,7 @@ NON_NEGATIVE_NAMES = ("qty", "quantity", "count", "counts", "age", "price", "amo
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def null_like(c: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tableproof.functions import tokens as t
 from tableproof.operators.ledger import accepted
-from tableproof.plans.cells import ROW, cells, columns_of
+from tableproof.plans.cells import ROW, columns_of
 from tableproof.plans.rows import renumber
 
 
@@ -27,8 +27,13 @@ def mismatches(df: DataFrame, ledger: DataFrame) -> DataFrame:
     earlier = F.lag("after").over(Window.partitionBy("column", "row_index").orderBy("kind", "id"))
     nth = F.row_number().over(Window.partitionBy("column", "row_index").orderBy("kind", "id"))
     wanted = cell_changes(ledger).withColumn("_earlier", earlier).withColumn("_nth", nth)
-    joined = wanted.join(cells(df), ["column", ROW])
-    met = F.when(F.col("_nth") == 1, F.col("raw")).otherwise(F.col("_earlier"))
+    # the changes of a row meet it as one array: only rows with changes are opened, and only at the cells they name
+    by_row = wanted.groupBy(ROW).agg(F.collect_list(F.struct("column", "before", "_earlier", "_nth")).alias("_wanted"))
+    raw = F.create_map(*[x for c in columns_of(df) for x in (F.lit(c), F.col(f"`{c}`").cast("string"))])
+    opened = df.join(by_row, ROW).select(ROW, raw.alias("_cells"), F.explode("_wanted").alias("_"))
+    known = opened.where(F.map_contains_key("_cells", F.col("_.column")))
+    joined = known.select(ROW, F.col("_.column").alias("column"), F.col("_.before").alias("before"), F.when(F.col("_._nth") == 1, F.col("_cells")[F.col("_.column")]).otherwise(F.col("_._earlier")).alias("_met"))
+    met = F.col("_met")
     text = lambda c: F.when(t.null_like(c), F.lit("")).otherwise(c)
     return joined.select("column", ROW, text(F.col("before")).alias("before"), text(met).alias("current")).where(F.col("before") != F.col("current"))
 

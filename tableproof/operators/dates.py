@@ -1,4 +1,7 @@
-"""Date normalisation: the order of day and month is voted by column, then each cell is proposed in ISO form."""
+"""Date normalisation: the order of day and month is voted by column, then cells are proposed in ISO form.
+
+Each distinct value is parsed, not each cell: what changes is joined back to its cells.
+"""
 
 from __future__ import annotations
 
@@ -6,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableproof.functions import dates as d
-from tableproof.functions.tokens import null_like, strip
 from tableproof.operators.ledger import change, empty, warning
-from tableproof.plans.cells import cells, dictionary
+from tableproof.plans.cells import cells_with, dictionary
+from tableproof.plans.held import hold
 
 
 def orders(values: DataFrame, allow_epoch_excel: bool = False) -> DataFrame:
@@ -28,15 +31,20 @@ def parsed(rows: DataFrame, order: DataFrame, allow_epoch_excel: bool = False) -
     return joined.withColumn("iso", iso).withColumn("state", state).drop("_sure", "order")
 
 
-def date_changes(df: DataFrame, columns: list[str], order: DataFrame, allow_epoch_excel: bool = False) -> DataFrame:
-    present = cells(df, columns).where(~null_like(F.col("raw"))).withColumn("token", strip(F.col("raw")))
-    found = parsed(present, order, allow_epoch_excel).where(F.col("iso") != F.col("token"))
+def date_changes(df: DataFrame, columns: list[str], order: DataFrame, allow_epoch_excel: bool = False, *, states: DataFrame | None = None) -> DataFrame:
+    """The ledger of the columns' dates. states: parsed() of the columns' dictionary, where it is at hand."""
+    if states is None:
+        states = parsed(dictionary(df, columns, None).where(~F.col("missing")), order, allow_epoch_excel)
+    found = cells_with(df, columns, states.where(F.col("iso") != F.col("token")).select("column", "raw", "token", "iso"))
     return change(found, kind="date_norm", column=F.col("column"), row=F.col("row_index"), before=F.col("token"), after=F.col("iso"), rule=F.lit("date:iso"), confidence=F.lit(1.0))
 
 
 def tallies(values: DataFrame, order: DataFrame, allow_epoch_excel: bool = False) -> DataFrame:
     """column, present, resolved, ambiguous, failed: rows by state."""
-    states = parsed(values.where(~F.col("missing")), order, allow_epoch_excel)
+    return by_state(parsed(values.where(~F.col("missing")), order, allow_epoch_excel))
+
+
+def by_state(states: DataFrame) -> DataFrame:
     count = lambda s: F.coalesce(F.sum(F.when(F.col("state") == s, F.col("n"))), F.lit(0)).alias(s)
     return states.groupBy("column").agg(F.sum("n").alias("present"), count("resolved"), count("ambiguous"), count("failed"))
 
@@ -61,5 +69,6 @@ def normalize_dates(df: DataFrame, columns: list[str], *, allow_epoch_excel: boo
         return empty(spark), spark.createDataFrame([], "key string, params map<string,string>"), spark.createDataFrame([], "column string, blocked boolean")
     values = dictionary(df, columns, None)
     order = orders(values, allow_epoch_excel)
-    counted = tallies(values, order, allow_epoch_excel)
-    return date_changes(df, columns, order, allow_epoch_excel), date_warnings(counted), gate(counted, fail_rate, ambig_blocks)
+    states = hold(parsed(values.where(~F.col("missing")), order, allow_epoch_excel))
+    counted = by_state(states)
+    return date_changes(df, columns, order, allow_epoch_excel, states=states), date_warnings(counted), gate(counted, fail_rate, ambig_blocks)

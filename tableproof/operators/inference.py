@@ -18,10 +18,14 @@ SAMPLES = 5
 LOCALES = ((None, None), (".", None), (".", ","), (",", None), (",", "."))
 
 
+def tokens_seen(values: DataFrame) -> DataFrame:
+    """column, token, first_row: a row for each distinct token."""
+    return values.where(~F.col("missing")).groupBy("column", "token").agg(F.min("first_row").alias("first_row"))
+
+
 def first_values(values: DataFrame, k: int = SAMPLES) -> DataFrame:
     """column, rank, token: each column's first k distinct tokens in row order."""
-    firsts = values.where(~F.col("missing")).groupBy("column", "token").agg(F.min("first_row").alias("first_row"))
-    ranked = firsts.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy("first_row")))
+    ranked = tokens_seen(values).withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy("first_row")))
     return ranked.where(F.col("rank") <= k).select("column", "rank", "token")
 
 
@@ -29,28 +33,30 @@ def shares(values: DataFrame) -> DataFrame:
     """A row a column: counts and marks that the cascade looks at, weighted by how often values are in the sample."""
     w, token = F.col("sampled"), F.col("token")
     seen = ~F.col("missing") & (w > 0)
+    digits = F.col("_digits")  # numbers and dates have one: words are passed by a cheap look
     count = lambda test: F.coalesce(F.sum(F.when(seen & test, w)), F.lit(0))
     some = lambda test: F.coalesce(F.bool_or(seen & test), F.lit(False))
-    floats = [count(t.clean_number(token, thousands, decimal).rlike(t.FLOAT)).alias(f"float_{i}") for i, (decimal, thousands) in enumerate(LOCALES)]
-    return values.groupBy("column").agg(
+    floats = [count(digits & t.clean_number(token, thousands, decimal).rlike(t.FLOAT)).alias(f"float_{i}") for i, (decimal, thousands) in enumerate(LOCALES)]
+    distinct = tokens_seen(values).groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
+    counted = values.withColumn("_digits", token.rlike(r"\p{Nd}")).groupBy("column").agg(
         F.sum("n").alias("total"),
         F.sum(F.when(F.col("missing"), F.col("n")).otherwise(0)).alias("missing"),
-        F.count_distinct("token").alias("distinct"),
         F.sum(F.when(~F.col("missing"), F.col("n")).otherwise(0)).alias("present"),
         F.sum("sampled").alias("sampled"),
         count(t.bool_word(token)).alias("bools"),
-        count(token.rlike(t.INTEGER)).alias("ints"),
-        some(token.rlike(t.LEADING_ZERO)).alias("leading"),
+        count(digits & token.rlike(t.INTEGER)).alias("ints"),
+        some(digits & token.rlike(t.LEADING_ZERO)).alias("leading"),
         some(token.rlike("[.,]")).alias("separated"),
         some(token.contains(".")).alias("dots"),
         some(token.contains(",")).alias("commas"),
-        some(token.rlike(r"(?U)\.\d{1,2}$")).alias("decimal_dot"),
-        some(token.rlike(r"(?U),\d{1,2}$")).alias("decimal_comma"),
+        some(digits & token.rlike(r"(?U)\.\d{1,2}$")).alias("decimal_dot"),
+        some(digits & token.rlike(r"(?U),\d{1,2}$")).alias("decimal_comma"),
         some(t.without_currency(token) != token).alias("stripped"),
-        count(t.without_currency(token).rlike(t.LOOSE_NUMBER)).alias("loose"),
-        count(token.rlike(t.DATEISH)).alias("dates"),
+        count(digits & t.without_currency(token).rlike(t.LOOSE_NUMBER)).alias("loose"),
+        count(digits & token.rlike(t.DATEISH)).alias("dates"),
         *floats,
     )
+    return counted.join(distinct, "column", "left").withColumn("distinct", F.coalesce("distinct", F.lit(0)))
 
 
 def cascade(counted: DataFrame, threshold: float) -> DataFrame:
@@ -122,6 +128,8 @@ def cast_changes(profiles: DataFrame) -> DataFrame:
 
 def override(profiles: DataFrame, ledger: DataFrame, column: str, dtype: str) -> tuple[DataFrame, DataFrame]:
     """Profiles and ledger with one column's type set by hand; its cast is proposed anew, nothing is detected again."""
+    if profiles.where(F.col("column") == column).isEmpty():
+        raise ValueError(f"there is no column {column!r}")
     known = ("string", "int64", "float64", "bool", "category", "datetime")
     if dtype not in known:
         raise ValueError(f"type is one of {known}, not {dtype!r}")

@@ -7,24 +7,27 @@ from pyspark.sql import functions as F
 
 from tableproof.functions.similarity import scored
 from tableproof.functions.text import surface
-from tableproof.functions.tokens import null_like
 from tableproof.operators.ledger import WARNINGS, change, empty, warning
-from tableproof.plans.cells import cells
+from tableproof.plans.cells import cells_with, dictionary
 from tableproof.plans.groups import components_in
+from tableproof.plans.held import hold
 
 
 def surfaces(df: DataFrame, columns: list[str], case: str = "keep") -> DataFrame:
-    """row_index, column, raw, surface of the cells that aren't missing."""
-    return cells(df, columns).where(~null_like(F.col("raw"))).withColumn("surface", surface(F.col("raw"), case))
+    """column, raw, n, first_row, surface of the columns' distinct values that aren't missing: held."""
+    values = dictionary(df, columns, None).where(~F.col("missing"))
+    return hold(values.select("column", "raw", "n", "first_row", surface(F.col("raw"), case).alias("surface")))
 
 
-def text_changes(shown: DataFrame) -> DataFrame:
-    return change(shown.where(F.col("surface") != F.col("raw")), kind="text_norm", column=F.col("column"), row=F.col("row_index"), before=F.col("raw"), after=F.col("surface"), rule=F.lit("text:surface"), confidence=F.lit(1.0))
+def text_changes(df: DataFrame, columns: list[str], shown: DataFrame) -> DataFrame:
+    """text_norm for the cells whose value has another surface. shown: surfaces() of the columns."""
+    found = cells_with(df, columns, shown.where(F.col("surface") != F.col("raw")).select("column", "raw", "surface"))
+    return change(found, kind="text_norm", column=F.col("column"), row=F.col("row_index"), before=F.col("raw"), after=F.col("surface"), rule=F.lit("text:surface"), confidence=F.lit(1.0))
 
 
 def frequencies(shown: DataFrame) -> DataFrame:
     """column, surface, n, first_row, at (its place among the column's surfaces in code point order)."""
-    counted = shown.groupBy("column", "surface").agg(F.count(F.lit(1)).alias("n"), F.min("row_index").alias("first_row"))
+    counted = shown.groupBy("column", "surface").agg(F.sum("n").alias("n"), F.min("first_row").alias("first_row"))
     return counted.withColumn("at", F.row_number().over(Window.partitionBy("column").orderBy("surface")).cast("long"))
 
 
@@ -44,17 +47,16 @@ def clusters(values: DataFrame, threshold: float) -> DataFrame:
     return grouped.join(winners, ["column", "cluster"])
 
 
-def category_changes(shown: DataFrame, clustered: DataFrame) -> DataFrame:
+def category_changes(df: DataFrame, columns: list[str], shown: DataFrame, clustered: DataFrame) -> DataFrame:
     """cat_merge where a cell's surface isn't its cluster's winner, text_norm where only its surface differs."""
-    canon = clustered.select("column", "surface", "winner")
-    placed = shown.join(F.broadcast(canon), ["column", "surface"])  # at most 50 values a column are categories
-    merged = placed.where((F.col("winner") != F.col("surface")) & (F.col("winner") != F.col("raw")))
+    placed = hold(shown.join(clustered.select("column", "surface", "winner"), ["column", "surface"]))
     losers = clustered.where(F.col("winner") != F.col("surface")).select("column", "surface", "winner", F.lower("surface").alias("l"), F.lower("winner").alias("r"))
     sure = scored(losers, "l", "r").select("column", "surface", "similarity")
-    merged = merged.join(F.broadcast(sure), ["column", "surface"])
+    moved = placed.where((F.col("winner") != F.col("surface")) & (F.col("winner") != F.col("raw"))).join(sure, ["column", "surface"])
+    merged = cells_with(df, columns, moved.select("column", "raw", "winner", "similarity"))
     merges = change(merged, kind="cat_merge", column=F.col("column"), row=F.col("row_index"), before=F.col("raw"), after=F.col("winner"), rule=F.lit("text:cat_merge"), confidence=F.col("similarity") / 100)
     # a cell that is its winner already is proposed its surface, if that differs, as in any text column
-    return merges.unionByName(text_changes(placed.where((F.col("winner") == F.col("surface")) | (F.col("winner") == F.col("raw")))))
+    return merges.unionByName(text_changes(df, columns, placed.where((F.col("winner") == F.col("surface")) | (F.col("winner") == F.col("raw")))))
 
 
 def normalize_text(df: DataFrame, strings: list[str], categories: list[str], *, case: str = "keep", cat_threshold: float = 90) -> tuple[DataFrame, DataFrame]:
@@ -62,11 +64,11 @@ def normalize_text(df: DataFrame, strings: list[str], categories: list[str], *,
     spark = df.sparkSession
     ledger, notes = empty(spark), spark.createDataFrame([], WARNINGS)
     if strings:
-        ledger = ledger.unionByName(text_changes(surfaces(df, strings, case)))
+        ledger = ledger.unionByName(text_changes(df, strings, surfaces(df, strings, case)))
     if categories:
         shown = surfaces(df, categories, case)
-        clustered = clusters(frequencies(shown), cat_threshold)
-        ledger = ledger.unionByName(category_changes(shown, clustered))
+        clustered = hold(clusters(frequencies(shown), cat_threshold))
+        ledger = ledger.unionByName(category_changes(df, categories, shown, clustered))
         several = clustered.where(F.col("members") > 1).select("column", "cluster", "listed", "winner").distinct()
         notes = notes.unionByName(warning(several, "warn_cat_merged", col=F.col("column"), members=F.col("listed"), winner=F.col("winner")))
     return ledger, notes

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tableproof.operators import coherence, dates, duplicates, inference, texts
 from tableproof.operators.ledger import resolve
 from tableproof.plans.cells import columns_of
+from tableproof.plans.held import hold
 
 
 @dataclass(frozen=True)
@@ -50,8 +51,9 @@ class Analysis:
 def analyse(df: DataFrame, options: Options = Options()) -> Analysis:
     """Profiles, ledger and warnings of a table of text columns with row_index.
 
-    The types decide which expressions the detectors are made of, so the profiles (a row a column) are collected once;
-    everything else stays lazy. Detectors read df itself, never each other's proposals.
+    The types decide which expressions the detectors are made of, so the profiles (a row a column) are collected once.
+    Detectors read df itself, never each other's proposals. Ledger and warnings are held: reports and appliers read them
+    again and again.
     """
     spark = df.sparkSession
     found = inference.infer(df, threshold=options.threshold, max_sample=options.max_sample)
@@ -68,8 +70,8 @@ def analyse(df: DataFrame, options: Options = Options()) -> Analysis:
     if options.dup_keys:
         doubled, told = duplicates.find_duplicates(df, list(options.dup_keys), threshold=options.dup_threshold, max_bucket=options.max_bucket)
         ledger, notes = ledger.unionByName(doubled), notes.unionByName(told)
-    final, conflicts = resolve(ledger)
-    return Analysis(df, profiles, final, notes.unionByName(conflicts), gates, options)
+    final, conflicts = resolve(hold(ledger))
+    return Analysis(df, profiles, hold(final), hold(notes.unionByName(conflicts)), gates, options)
 
 
 def text_table(df: DataFrame, index: str | None = None) -> DataFrame:

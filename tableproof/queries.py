@@ -175,7 +175,8 @@ def date_excel(spark, sf):
 
 def _surface(case):
     def run(spark, sf):
-        return _changes(texts.text_changes(texts.surfaces(fx.dirty_orders(spark, sf), ["priority"], case)))
+        df = fx.dirty_orders(spark, sf)
+        return _changes(texts.text_changes(df, ["priority"], texts.surfaces(df, ["priority"], case)))
 
     return run
 
