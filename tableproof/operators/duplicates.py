@@ -11,6 +11,7 @@ from tableproof.functions.tokens import null_like
 from tableproof.operators.ledger import WARNINGS, change, empty, warning
 from tableproof.plans.cells import ROW, columns_of, first_rows
 from tableproof.plans.groups import components_in
+from tableproof.plans.held import hold
 from tableproof.plans.rows import number_by
 
 
@@ -21,9 +22,14 @@ def keyed(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(ROW, key.alias("key"), full.alias("completeness")).withColumn("sig", F.substring("key", 1, 1))
 
 
-def blocks(rows: DataFrame, max_bucket: int) -> DataFrame:
-    """sig, rows, last: each block's size and, for one of over max_bucket rows, the last row that is compared."""
+def blocks(rows: DataFrame, max_bucket: int | None) -> DataFrame:
+    """sig, rows, last: each block's size and, for one of over max_bucket rows, the last row that is compared.
+
+    With None every row is: equal keys collapse, tiles and length bounds do the rest.
+    """
     sizes = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("rows"), F.min(ROW).alias("block_first"))
+    if max_bucket is None:
+        return sizes.withColumn("last", F.lit(None).cast("long"))
     return sizes.join(first_rows(rows, ["sig"], max_bucket), "sig", "left")
 
 
@@ -74,8 +80,16 @@ def losers(grouped: DataFrame) -> DataFrame:
     return scored(lost, "key", "winner_key")
 
 
-def find_duplicates(df: DataFrame, keys: list[str], *, threshold: float = 85, max_bucket: int = 1500) -> tuple[DataFrame, DataFrame]:
-    """Ledger and warnings: a dedup change for each row that a more complete near copy makes superfluous."""
+def truncations(sized: DataFrame, max_bucket: int | None) -> DataFrame:
+    """A warning for each block of which only the first max_bucket rows are compared."""
+    return warning(sized.where(F.col("rows") > F.lit(max_bucket).cast("long")), "warn_dup_truncated", sig=F.col("sig"), count=F.col("rows"), max=F.lit(max_bucket))
+
+
+def find_duplicates(df: DataFrame, keys: list[str], *, threshold: float = 85, max_bucket: int | None = 1500) -> tuple[DataFrame, DataFrame]:
+    """Ledger and warnings: a dedup change for each row that a more complete near copy makes superfluous.
+
+    A block compares its first max_bucket rows, and a warning tells where there are more; with None it compares all.
+    """
     spark = df.sparkSession
     missing = [c for c in keys if c not in columns_of(df)]
     if missing:
@@ -83,14 +97,13 @@ def find_duplicates(df: DataFrame, keys: list[str], *, threshold: float = 85, ma
         return empty(spark), note
     rows = keyed(df, keys)
     sized = blocks(rows, max_bucket)
-    grouped = groups(compared(rows, sized), threshold)
+    grouped = hold(groups(compared(rows, sized), threshold))
     ledger = change(losers(grouped), kind="dedup", column=None, row=F.col(ROW), before=F.col("key"), after=None, rule=F.concat(F.lit("dedup:g"), F.col("gid").cast("string")), confidence=F.col("similarity") / 100)
-    cut = warning(sized.where(F.col("rows") > max_bucket), "warn_dup_truncated", sig=F.col("sig"), count=F.col("rows"), max=F.lit(max_bucket))
     found = grouped.agg(F.count_distinct("gid").alias("n")).where(F.col("n") > 0)
-    return ledger, cut.unionByName(warning(found, "warn_dup_groups", count=F.col("n"), cols=F.lit(", ".join(keys))))
+    return ledger, truncations(sized, max_bucket).unionByName(warning(found, "warn_dup_groups", count=F.col("n"), cols=F.lit(", ".join(keys))))
 
 
-def redetect(df: DataFrame, ledger: DataFrame, warnings: DataFrame, keys: list[str], *, threshold: float = 85, max_bucket: int = 1500) -> tuple[DataFrame, DataFrame]:
+def redetect(df: DataFrame, ledger: DataFrame, warnings: DataFrame, keys: list[str], *, threshold: float = 85, max_bucket: int | None = 1500) -> tuple[DataFrame, DataFrame]:
     """Ledger and warnings with the duplicates found anew; their decisions are open again."""
     fresh, notes = find_duplicates(df, keys, threshold=threshold, max_bucket=max_bucket)
     old = warnings.where(~F.col("key").startswith("warn_dup_"))

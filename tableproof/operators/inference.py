@@ -120,6 +120,13 @@ def infer(df: DataFrame, *, threshold: float = 0.95, max_sample: int | None = 50
     )
 
 
+def projection(profiles: DataFrame) -> DataFrame:
+    """The profiles as a table to read: by name, shares with three digits, flags joined or "-"."""
+    flags = F.when(F.size("flags") > 0, F.array_join("flags", ", ")).otherwise("-")
+    shown = profiles.select("column", "dtype", F.round("confidence", 3).alias("confidence"), F.round("null_like_rate", 3).alias("missing"), "distinct", flags.alias("flags"))
+    return shown.orderBy("column")
+
+
 def cast_changes(profiles: DataFrame) -> DataFrame:
     """A type_cast change for each column of a type that can be cast."""
     chosen = profiles.where(F.col("dtype").isin(*CASTABLE))

@@ -95,5 +95,16 @@ def report_order() -> list[Column]:
     return [F.coalesce(F.col("row_index"), F.lit(-1)), *text]
 
 
+def canonical_order() -> list[Column]:
+    """Sort keys of a resolved ledger: changes of no cell first, then by row, column and kind."""
+    of_cell = F.col("column").isNotNull() & F.col("row_index").isNotNull()
+    return [of_cell, F.coalesce(F.col("row_index"), F.lit(-1)), F.coalesce(F.col("column"), F.lit("")), F.col("kind"), F.col("id")]
+
+
+def page(ledger: DataFrame, size: int = 200) -> tuple[DataFrame, int]:
+    """The first changes in canonical order, as a screen shows them, and how many there are in all."""
+    return ledger.orderBy(*canonical_order()).limit(size), ledger.count()
+
+
 def confidence_badge(confidence: Column) -> Column:
     return F.when(confidence >= 0.9, "high").when(confidence >= 0.6, "mid").otherwise("low")

@@ -115,6 +115,7 @@ def as_json(report: dict[str, Any]) -> str:
     return json.dumps(report, indent=2, sort_keys=True, ensure_ascii=True)
 
 
+#: Heads of the report's tables (and the titles in _sections).
 CHANGE_HEAD = ("status", "kind", "column", "row", "before", "after", "rule", "confidence")
 COLUMN_HEAD = ("column", "dtype", "confidence", "null rate", "distinct", "flags", "changes accepted")
 

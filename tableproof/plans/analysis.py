@@ -22,7 +22,7 @@ class Options:
     unify_nulls: bool = True
     dup_keys: tuple[str, ...] = ()
     dup_threshold: float = 85
-    max_bucket: int = 1500
+    max_bucket: int | None = 1500
     max_sample: int | None = 50_000
     allow_epoch_excel: bool = False
     fail_rate: float = 0.05
