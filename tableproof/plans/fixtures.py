@@ -39,6 +39,29 @@ def orders_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def date_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms of dates with month names first, two-digit years about the pivot, clocks, and times that don't exist."""
+    k = "o_orderkey"
+    year = f"lpad(cast({k} % 100 as string), 2, '0')"
+    clock = f"lpad(cast({k} % 24 as string), 2, '0')"
+    return table(spark, sf_dir, "orders").selectExpr(
+        f"{k} as {ROW}",
+        "date_format(o_orderdate, 'MMM d, yyyy') as month_first",
+        f"concat('5-May-', {year}) as short_year",
+        f"case {k} % 4 when 0 then concat(date_format(o_orderdate, 'yyyy-MM-dd'), ' ', {clock}, ':07') when 1 then concat(date_format(o_orderdate, 'yyyy-MM-dd'), 'T', {clock}, ':07:09') when 2 then concat(date_format(o_orderdate, 'yyyy/MM/dd'), ' 00:00:00') else concat(date_format(o_orderdate, 'yyyy-MM-dd'), ' 12:00:60') end as clocked",
+    )
+
+
+#: Raw text, its surface and its surface in title case: compatibility forms, accents, capitals beyond ASCII.
+WIDE = (("\uff21\uff22\uff23 \uff11", "ABC 1", "Abc 1"), ("o\ufb03ce\u00a0 x", "office x", "Office X"), ("  \u00e9cole d'\u00e9t\u00e9 ", "\u00e9cole d'\u00e9t\u00e9", "\u00c9cole D'\u00c9t\u00e9"), ("cafe\u0301", "caf\u00e9", "Caf\u00e9"), ("\u041c\u041e\u0421\u041a\u0412\u0410\u2003\u2003\u2460", "\u041c\u041e\u0421\u041a\u0412\u0410 1", "\u041c\u043e\u0441\u043a\u0432\u0430 1"))
+
+
+def wide_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with text beyond ASCII."""
+    pick = "element_at(array(" + ", ".join("'" + raw.replace("'", "\\'") + "'" for raw, _, _ in WIDE) + f"), cast(o_orderkey % {len(WIDE)} as int) + 1)"
+    return table(spark, sf_dir, "orders").selectExpr(f"o_orderkey as {ROW}", f"{pick} as word")
+
+
 def dirty_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = "event_id"
     return table(spark, sf_dir, "events").selectExpr(

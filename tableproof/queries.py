@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
 from collections.abc import Callable
 from datetime import date
+from html import unescape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +19,11 @@ from tableproof.operators import apply, coherence, dates, duplicates, inference,
 from tableproof.plans import fixtures as fx
 from tableproof.plans.analysis import Options, analyse
 from tableproof.plans.cells import ROW, cells, dictionary
-from tableproof.plans.held import hold
-from tableproof.plans.rows import number_rows
+from tableproof.plans.held import hold, shared_folder
+from tableproof.plans.rows import number_rows, preview
 from tableproof.session import table
+from tableproof.sources import csv_text, session
+from tableproof.streaming import stateless
 
 AS_OF = date(1999, 1, 1)
 #: Similarity from which part names link here: they have two words, so 85 would only link equal ones.
@@ -393,4 +399,253 @@ def apply_summary(spark, sf):
 @query
 def analysis_warnings(spark, sf):
     found = analyse(fx.dirty_part(spark, sf), Options(dup_keys=("name",), today=AS_OF))
-    return found.warnings.select("key", F.coalesce(F.col("params")["col"], F.col("params")["cols"]).alias("col_name"), F.col("params")["winner"].alias("winner"), F.coalesce(F.col("params")["count"].cast("long"), F.lit(0)).alias("n")).where("key <> 'warn_dup_truncated'")
+    return found.warnings.select("key", F.coalesce(F.col("params")["col"], F.col("params")["cols"]).alias("col_name"), F.col("params")["winner"].alias("winner"), F.coalesce(F.col("params")["count"].cast("long"), F.lit(0)).alias("n"))
+
+
+# -- forms of dates, text beyond ASCII -------------------------------------------------------------------------------
+
+
+def _forms(column):
+    def run(spark, sf):
+        found = cells(fx.date_forms(spark, sf), [column])
+        return found.select(ROW, "raw", d.unambiguous(F.col("raw")).alias("iso"))
+
+    return run
+
+
+QUERIES |= {"date_month_first": _forms("month_first"), "date_short_year": _forms("short_year"), "date_clock": _forms("clocked")}
+
+
+def _wide(case):
+    def run(spark, sf):
+        df = fx.wide_text(spark, sf)
+        return _changes(texts.text_changes(df, ["word"], texts.surfaces(df, ["word"], case)))
+
+    return run
+
+
+QUERIES |= {"text_wide_keep": _wide("keep"), "text_wide_title": _wide("title")}
+
+
+# -- profiles, names, ledger -----------------------------------------------------------------------------------------
+
+
+@query
+def profile_table(spark, sf):
+    return _named(inference.projection(inference.infer(fx.dirty_orders(spark, sf))), column="col_name", distinct="n_distinct")
+
+
+@query
+def negative_named(spark, sf):
+    """The check picks its columns by their names: of three with the same values, one name promises none below zero."""
+    df = fx.orders_extra(spark, sf).select(ROW, F.col("amount").alias("total amount"), F.col("amount").alias("balance"), F.col("amount").alias("discounted"))
+    profiles = inference.infer(df).orderBy("position").collect()
+    _, notes = coherence.negative_values(coherence.context(df, profiles))
+    return notes.select("key", F.col("params")["col"].alias("col_name"), F.col("params")["count"].cast("long").alias("n"))
+
+
+@query
+def checks_registry(spark, sf):
+    """A check of one's own beside the built-in ones."""
+    df = fx.dirty_customer(spark, sf)
+
+    def too_short(ctx):
+        found = ctx.values.where(~F.col("missing") & (F.length("token") < 9)).groupBy("column").agg(F.sum("n").alias("n"))
+        return None, ledger.warning(found, "warn_too_short", col=F.col("column"), count=F.col("n"))
+
+    profiles = inference.infer(df).orderBy("position").collect()
+    _, notes = coherence.run_checks(coherence.context(df, profiles), [*coherence.CHECKS, too_short])
+    return notes.select("key", F.coalesce(F.col("params")["col"], F.col("params")["col1"]).alias("col_name"), F.coalesce(F.col("params")["count"].cast("long"), F.lit(0)).alias("n"))
+
+
+@query
+def ledger_by_kind(spark, sf):
+    return _changes(ledger.by_kind(_rival_changes(spark, sf), "text_norm", "date_norm"))
+
+
+@query
+def ledger_canonical(spark, sf):
+    """Places of the resolved changes: those of no cell first, then by row."""
+    kept, _ = ledger.resolve(_rival_changes(spark, sf).unionByName(inference.cast_changes(spark.createDataFrame([("price", "float64", 1.0)], "column string, dtype string, confidence double"))))
+    ordered = hold(kept.orderBy(*ledger.canonical_order()).select(F.col(ROW).alias("cell_row"), "kind"))
+    return _named(number_rows(ordered), row_index="place")
+
+
+@query
+def ledger_page(spark, sf):
+    first, total = ledger.page(ledger.resolve(_rival_changes(spark, sf))[0], 200)
+    return first.select(F.col(ROW).alias("cell_row"), "kind", F.lit(total).cast("long").alias("total"))
+
+
+@query
+def confidence_badges(spark, sf):
+    levels = table(spark, sf, "orders").select(F.col("o_orderkey").alias(ROW), (F.col("o_orderkey") % 11 / 10).alias("confidence"))
+    return levels.select(ROW, ledger.confidence_badge(F.col("confidence")).alias("badge"))
+
+
+@query
+def preview_rows(spark, sf):
+    return preview(fx.dirty_orders(spark, sf), 50)
+
+
+@query
+def dedup_unknown_key(spark, sf):
+    changes, notes = duplicates.find_duplicates(fx.dirty_part(spark, sf), ["name", "colour", "size"])
+    return notes.select("key", F.col("params")["cols"].alias("cols"), F.lit(changes.count()).cast("long").alias("n_changes"))
+
+
+@query
+def dedup_truncated(spark, sf):
+    sized = duplicates.blocks(duplicates.keyed(fx.dirty_customer(spark, sf), ["name"]), 100)
+    notes = duplicates.truncations(sized, 100)
+    return notes.select("key", F.col("params")["sig"].alias("sig"), F.col("params")["count"].cast("long").alias("n"))
+
+
+@query
+def dedup_redetect(spark, sf):
+    """Decided changes of an older search go, those of other kinds stay as they were decided."""
+    df = fx.dirty_part(spark, sf)
+    other = _rival_changes(spark, sf).where("kind = 'date_norm'")
+    old, told = duplicates.find_duplicates(df, ["brand"], threshold=100)
+    before = ledger.set_status(other.unionByName(old), F.lit(True), "accepted")
+    after, notes = duplicates.redetect(df, before, told, ["name"], threshold=LINKED)
+    counts = after.groupBy("kind", "status").agg(F.count(F.lit(1)).alias("n"))
+    return counts.unionByName(notes.where(F.col("key") == "warn_dup_groups").select(F.col("key").alias("kind"), F.lit("").alias("status"), F.col("params")["count"].cast("long").alias("n")))
+
+
+@query
+def apply_last_writer(spark, sf):
+    """Of several accepted changes of one cell, the one of the last kind stands."""
+    return apply.apply_cells(fx.dirty_orders(spark, sf).select(ROW, "status"), ledger.set_status(_rival_changes(spark, sf), F.lit(True), "accepted"))
+
+
+@query
+def apply_all_kinds(spark, sf):
+    """Counts by kind of cells, casts and dropped rows, and the rows left."""
+    df = fx.dirty_part(spark, sf)
+    doubled, _ = duplicates.find_duplicates(df, ["name"], threshold=LINKED)
+    casts = inference.cast_changes(spark.createDataFrame([("brand", "category", 1.0)], "column string, dtype string, confidence double"))
+    fixed, _ = coherence.null_unify(coherence.Context(df, [], df))
+    done = apply.apply_changes(df, hold(ledger.set_status(doubled.unionByName(casts).unionByName(fixed), F.lit(True), "accepted")), [])
+    rows = [*done.applied_by_kind.items(), ("rows_before", done.rows_before), ("rows_after", done.rows_after), ("casts", len(done.casts)), ("clean_rows", done.df.count())]
+    return spark.createDataFrame(rows, "measure string, n long")
+
+
+@query
+def export_gates(spark, sf):
+    """Whether an analysis stops the export: with open dates, and without."""
+    low, _, gates = dates.normalize_dates(_low_days(spark, sf), ["low_date"])
+    fine = dates.normalize_dates(fx.dirty_orders(spark, sf), ["us_date"])[2]
+    either = gates.unionByName(fine)
+    of = lambda name, g: g.agg(F.coalesce(F.bool_or("blocked"), F.lit(False)).alias("blocked")).select(F.lit(name).alias("dates"), "blocked")
+    return of("open", gates).unionByName(of("sure", fine)).unionByName(of("both", either))
+
+
+# -- sources, sinks, sessions, reports, streams ----------------------------------------------------------------------
+
+
+def _folder(spark) -> str:
+    return f"{shared_folder(spark)}/queries-{uuid.uuid4().hex}"
+
+
+@query
+def csv_round_trip(spark, sf):
+    """A clean file written in row order, scanned again with everything found by itself."""
+    where = _folder(spark)
+    csv_text.write_csv(fx.dirty_orders(spark, sf), where)
+    return csv_text.read_csv(spark, where).df
+
+
+@query
+def csv_found(spark, sf):
+    """Encoding, delimiter and rows of one file: semicolons, cp1252, quoted line breaks, and a cap on its rows."""
+    where = _folder(spark)
+    rows = table(spark, sf, "customer").orderBy("c_custkey").select(F.concat(F.lit('"'), "c_name", F.lit('\nn\u00e9";'), F.col("c_custkey").cast("string"), F.lit(";\u20ac5,\u00fc")).alias("line"))
+    lines = rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.split_part("line", F.lit(";"), F.lit(2)).cast("long").alias("k"), "line"))), lambda x: x["line"]), "\r\n").alias("all"))  # a file is one value here
+    text = lines.select(F.concat(F.lit("name;key;price\r\n"), "all")).first()[0]
+    system = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where + "/one.csv")
+    out = system.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(system)
+    out.write(bytearray(text.encode("cp1252")))
+    out.close()
+    found = csv_text.read_csv(spark, where + "/one.csv", max_rows=100, encoding="cp1252")
+    return found.df.select(ROW, F.col("name").alias("cust"), "key", "price", F.lit(found.truncated).alias("truncated"), F.lit(found.delimiter).alias("delimiter"))
+
+
+def _saved(spark, sf):
+    df = fx.dirty_orders(spark, sf).select(ROW, "order_date", "price", "status")
+    return analyse(df, Options(today=AS_OF))
+
+
+@query
+def session_round_trip(spark, sf):
+    """An analysis saved, decided on in two steps and loaded: the later decision on a change counts."""
+    where = _folder(spark)
+    session.save(_saved(spark, sf), where)
+    changes = session.load(spark, where).ledger
+    session.decide_on(changes.where(F.col(ROW).isNotNull()), "accepted", where)
+    session.decide_on(changes.where(F.col(ROW) % 2 == 0), "rejected", where)
+    loaded = session.load(spark, where).ledger.groupBy("kind", "status").agg(F.count(F.lit(1)).alias("n"))
+    kept = hold(loaded)
+    session.clear(spark, where)
+    return kept.withColumn("cleared", F.lit(session.load(spark, where) is None))
+
+
+def _report(spark, sf) -> dict:
+    df, changes = _cleaning(spark, sf)
+    changes = hold(_decided(changes))
+    profiles = inference.infer(df)
+    notes = spark.createDataFrame([("warn_high_null", {"col": "status", "rate": "0.512"}), ("warn_ambiguous", {"col": "price"})], ledger.WARNINGS)
+    return report.build_report(profiles, changes, notes, True, apply.apply_changes(df, changes, []))
+
+
+def _sections(found: dict) -> list[tuple[str, str, str]]:
+    done = found["apply_summary"]
+    return [
+        *(("kind", k, str(n)) for k, n in found["counts_by_kind"].items()),
+        *(("status", k, str(n)) for k, n in found["counts_by_status"].items()),
+        *(("rule", r, "") for r in found["rules_triggered"]),
+        *(("warning", w, "") for w in found["warnings"]),
+        *(("applied", k, str(n)) for k, n in done["applied_by_kind"].items()),
+        *(("column", c["name"], f"{c['dtype']} {c['distinct']} {c['changes_accepted']}") for c in found["columns"]),
+        *(("change", f"{c['row_index']} {c['column']}", f"{c['kind']} {c['after']} {c['status']}") for c in found["changes"]),
+        ("rows", "before", str(done["rows_before"])),
+        ("rows", "after", str(done["rows_after"])),
+        ("blocked", str(found["blocked_export"]).lower(), ""),
+    ]
+
+
+@query
+def report_json(spark, sf):
+    return spark.createDataFrame(_sections(json.loads(report.export(_report(spark, sf), "json"))), "section string, name string, value string")
+
+
+def _table_rows(lines: list[list[str]]) -> list[tuple[str, str, str, str]]:
+    return [(row[2], row[3], row[1], row[0]) for row in lines]
+
+
+@query
+def report_markdown(spark, sf):
+    """The rows of the table of changes, read back from the Markdown."""
+    text = report.export(_report(spark, sf), "md")
+    lines = [[c.strip() for c in line.strip("|").split(" | ")] for line in text.split("## Changes")[1].split("## Rules")[0].splitlines() if line.startswith("| ")]
+    return spark.createDataFrame(_table_rows(lines[2:]), "col_name string, cell_row string, kind string, status string")
+
+
+@query
+def report_html(spark, sf):
+    text = report.export(_report(spark, sf), "html")
+    rows = [[unescape(c) for c in re.findall("<td>(.*?)</td>", row, re.S)] for row in re.findall(r'<tr class="[a-z]+">(.*?)</tr>', text, re.S)]
+    return spark.createDataFrame(_table_rows(rows), "col_name string, cell_row string, kind string, status string")
+
+
+@query
+def stream_proposals(spark, sf):
+    """The row-local rules over a stream of files, written once, under a profile and vote of the columns."""
+    where = _folder(spark)
+    df = fx.dirty_orders(spark, sf).select(ROW, "us_date", "priority", "status")
+    df.write.parquet(where + "/in")
+    stream = spark.readStream.schema(df.schema).parquet(where + "/in")
+    profiles = [{"column": "us_date", "dtype": "datetime"}, {"column": "priority", "dtype": "category"}, {"column": "status", "dtype": "category"}]
+    running = stateless.proposals(stream, profiles, {"us_date": "MDY"}).writeStream.format("parquet").option("path", where + "/out").option("checkpointLocation", where + "/state").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return _changes(spark.read.parquet(where + "/out"))

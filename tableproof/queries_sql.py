@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tableproof.plans.fixtures import WIDE
+
 NULLS = "('', 'na', 'n/a', 'null', 'none', '-', '--', 'nan')"
 CENTS = "CAST(CAST({} AS DECIMAL(12,2)) AS VARCHAR)"
 K = "o_orderkey"
@@ -218,7 +220,70 @@ ORACLES: dict[str, str] = {
     "counts_by_status": f"WITH {CLEANING} SELECT s.status, count(d.status) AS n FROM (SELECT unnest(['accepted','pending','rejected']) AS status) s LEFT JOIN (SELECT status FROM dec WHERE status <> 'pending') d USING (status) GROUP BY s.status",
     "report_columns": f"WITH p AS ({profile(DIRTY_ORDERS, 'dirty_orders', ORDER_COLUMNS, f'SELECT {FIELDS} FROM prof')}), n AS (WITH {CLEANING} SELECT col_name, count(*) AS changes_accepted FROM dec WHERE status = 'accepted' GROUP BY col_name) SELECT p.*, coalesce(changes_accepted, 0) AS changes_accepted FROM p LEFT JOIN n USING (col_name)",
     "ledger_ordered": f"WITH {CLEANING} SELECT row_number() OVER (ORDER BY row_index, col_name, kind, rule, old_value, new_value) - 1 AS place, row_index AS cell_row, col_name, kind, new_value FROM led",
-    "apply_mismatches": f"WITH {CLEANING}, w AS (SELECT l.col_name, l.row_index, CASE WHEN l.row_index % 7 = 0 THEN 'else' ELSE old_value END AS b, raw FROM led l JOIN allc USING (col_name, row_index)), x AS (SELECT col_name, row_index, CASE WHEN lower(trim(b)) IN {NULLS} THEN '' ELSE b END AS expected, CASE WHEN lower(trim(raw)) IN {NULLS} THEN '' ELSE raw END AS met FROM w) SELECT * FROM x WHERE expected <> met",
+    "apply_mismatches": f"WITH {CLEANING.replace('moved AS (', 'moved AS MATERIALIZED (').replace('fixed AS (', 'fixed AS MATERIALIZED (')}, was AS MATERIALIZED (SELECT m.*, CASE m.col_name " + " ".join(f"WHEN '{c}' THEN o.{c}" for c in ORDER_COLUMNS) + f" END AS raw FROM (SELECT col_name, row_index, old_value FROM moved UNION ALL SELECT col_name, row_index, old_value FROM fixed) m JOIN dirty_orders o USING (row_index)), x AS (SELECT col_name, row_index, CASE WHEN row_index % 7 = 0 THEN 'else' WHEN lower(trim(old_value)) IN {NULLS} THEN '' ELSE old_value END AS expected, CASE WHEN lower(trim(raw)) IN {NULLS} THEN '' ELSE raw END AS met FROM was) SELECT * FROM x WHERE expected <> met",
     "apply_summary": f"WITH {CLEANING} SELECT kind AS measure, count(*) AS n FROM dec WHERE status = 'accepted' GROUP BY kind UNION ALL SELECT 'rows_before', count(*) FROM orders UNION ALL SELECT 'rows_after', count(*) FROM orders",
-    "analysis_warnings": f"SELECT * FROM ({REC}{DIRTY_PART}, {long('dirty_part', ['brand', 'ptype'])}, {SHOWN}, {CLUSTER} SELECT DISTINCT 'warn_cat_merged' AS key, col_name, winner, 0 AS n FROM canon WHERE members > 1) UNION ALL SELECT * FROM ({REC}{GROUPS.replace('sim >= 70', 'sim >= 85')} SELECT 'warn_dup_groups' AS key, 'name' AS col_name, CAST(NULL AS VARCHAR) AS winner, count(DISTINCT gid) AS n FROM grp HAVING count(*) > 0)",
+    "analysis_warnings": f"SELECT * FROM ({REC}{DIRTY_PART}, {long('dirty_part', ['brand', 'ptype'])}, {SHOWN}, {CLUSTER} SELECT DISTINCT 'warn_cat_merged' AS key, col_name, winner, 0 AS n FROM canon WHERE members > 1) UNION ALL SELECT * FROM (WITH {KEYED} SELECT DISTINCT 'warn_dup_truncated' AS key, CAST(NULL AS VARCHAR) AS col_name, CAST(NULL AS VARCHAR) AS winner, blk AS n FROM ranked WHERE blk > 1500) UNION ALL SELECT * FROM ({REC}{GROUPS.replace('sim >= 70', 'sim >= 85')} SELECT 'warn_dup_groups' AS key, 'name' AS col_name, CAST(NULL AS VARCHAR) AS winner, count(DISTINCT gid) AS n FROM grp HAVING count(*) > 0)",
+}
+
+# -- forms of dates, text beyond ASCII -------------------------------------------------------------------------------
+
+ORACLES["date_month_first"] = f"SELECT {K} AS row_index, strftime(o_orderdate, '%b %-d, %Y') AS raw, strftime(o_orderdate, '%Y-%m-%d') AS iso FROM orders"
+ORACLES["date_short_year"] = f"SELECT {K} AS row_index, concat('5-May-', lpad(CAST({K} % 100 AS VARCHAR), 2, '0')) AS raw, concat(CAST(CASE WHEN {K} % 100 < 70 THEN 2000 ELSE 1900 END + {K} % 100 AS VARCHAR), '-05-05') AS iso FROM orders"
+ORACLES["date_clock"] = f"""WITH f AS (SELECT {K} AS row_index, {K} % 4 AS form, strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate, '%Y/%m/%d') AS slash, lpad(CAST({K} % 24 AS VARCHAR), 2, '0') AS hh FROM orders)
+SELECT row_index, CASE form WHEN 0 THEN concat(day, ' ', hh, ':07') WHEN 1 THEN concat(day, 'T', hh, ':07:09') WHEN 2 THEN concat(slash, ' 00:00:00') ELSE concat(day, ' 12:00:60') END AS raw,
+  CASE form WHEN 0 THEN concat(day, ' ', hh, ':07:00') WHEN 1 THEN concat(day, ' ', hh, ':07:09') WHEN 2 THEN day END AS iso FROM f"""
+
+
+def _wide(of: int) -> str:
+    """text_norm by the table of forms: of names the wanted one."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    forms = ", ".join(f"({i}, {quote(w[0])}, {quote(w[of])})" for i, w in enumerate(WIDE))
+    return f"WITH forms(k, raw, surf) AS (VALUES {forms}) " + changes("'text_norm'", K, "'word'", "raw", "surf", "'text:surface'", "1", f"orders JOIN forms ON k = {K} % {len(WIDE)} WHERE raw <> surf")
+
+
+ORACLES |= {"text_wide_keep": _wide(1), "text_wide_title": _wide(2)}
+
+# -- profiles, names, ledger -----------------------------------------------------------------------------------------
+
+RIVALS = f"rivals AS (SELECT {K} AS row_index, 4 AS pr, 'coherence_fix' AS kind, 'null:unify' AS rule FROM orders UNION ALL SELECT {K}, 3, 'text_norm', 'text:surface' FROM orders WHERE {K} % 2 = 0 UNION ALL SELECT {K}, 1, 'date_norm', 'date:iso' FROM orders WHERE {K} % 3 = 0)"
+RESOLVED = f"{RIVALS}, resolved AS (SELECT row_index, arg_min(kind, pr) AS kind FROM rivals GROUP BY row_index)"
+NAMED_WARNINGS = f"SELECT 'warn_ambiguous' AS key, 'email' AS col_name, 0 AS n UNION ALL SELECT 'warn_duplicate_columns', 'segment', 0 UNION ALL SELECT 'warn_email_shape', 'email', count(*) FROM dirty_customer WHERE NOT contains(email, '@')"
+ORACLES |= {
+    "profile_table": profile(DIRTY_ORDERS, "dirty_orders", ORDER_COLUMNS, "SELECT col_name, dtype, round(confidence, 3) AS confidence, round(null_like_rate, 3) AS missing, n_distinct, CASE WHEN flags = '' THEN '-' ELSE replace(flags, ',', ', ') END AS flags FROM prof"),
+    "negative_named": f"WITH {EXTRA} SELECT 'warn_negative_values' AS key, 'total amount' AS col_name, count(*) AS n FROM orders_extra WHERE CAST(amount AS DOUBLE) < 0",
+    "checks_registry": f"WITH {DIRTY_CUSTOMER} {NAMED_WARNINGS} UNION ALL SELECT 'warn_too_short', c, CAST(sum(short) AS BIGINT) FROM (SELECT unnest(['segment', 'segment_copy']) AS c, (length(segment) < 9)::INT AS short FROM dirty_customer) GROUP BY c",
+    "ledger_by_kind": f"WITH {RIVALS} " + changes("kind", "row_index", "'status'", "'x'", "concat('y', row_index)", "rule", "1", "rivals WHERE pr < 4"),
+    "ledger_canonical": f"WITH {RESOLVED}, every AS (SELECT 0 AS c, NULL AS cell_row, 'type_cast' AS kind UNION ALL SELECT 1, row_index, kind FROM resolved) SELECT row_number() OVER (ORDER BY c, cell_row) - 1 AS place, cell_row, kind FROM every",
+    "ledger_page": f"WITH {RESOLVED} SELECT row_index AS cell_row, kind, (SELECT count(*) FROM resolved) AS total FROM resolved ORDER BY row_index LIMIT 200",
+    "confidence_badges": f"SELECT {K} AS row_index, CASE WHEN {K} % 11 >= 9 THEN 'high' WHEN {K} % 11 >= 6 THEN 'mid' ELSE 'low' END AS badge FROM orders",
+    "preview_rows": f"WITH {DIRTY_ORDERS} SELECT * FROM dirty_orders ORDER BY row_index LIMIT 50",
+    "dedup_unknown_key": "SELECT 'warn_dup_unknown' AS key, 'colour, size' AS cols, 0 AS n_changes",
+    "dedup_truncated": f"WITH {DIRTY_CUSTOMER} SELECT 'warn_dup_truncated' AS key, left({KEY('name')}, 1) AS sig, count(*) AS n FROM dirty_customer GROUP BY ALL HAVING count(*) > 100",
+    "dedup_redetect": f"{REC}{GROUPS} SELECT 'dedup' AS kind, 'pending' AS status, count(*) AS n FROM lost HAVING count(*) > 0 UNION ALL SELECT 'date_norm', 'accepted', count(*) FROM orders WHERE {K} % 3 = 0 UNION ALL SELECT 'warn_dup_groups', '', count(DISTINCT gid) FROM grp HAVING count(*) > 0",
+    "apply_last_writer": f"SELECT {K} AS row_index, concat('y', {K}) AS status FROM orders",
+    "apply_all_kinds": f"{REC}{GROUPS}, empty AS (SELECT count(*) AS n FROM dirty_part WHERE ptype = '--') SELECT 'dedup' AS measure, count(*) AS n FROM lost UNION ALL SELECT 'type_cast', 1 UNION ALL SELECT 'casts', 1 UNION ALL SELECT 'coherence_fix', n FROM empty UNION ALL SELECT 'rows_before', count(*) FROM dirty_part UNION ALL SELECT unnest(['rows_after', 'clean_rows']), (SELECT count(*) FROM dirty_part) - (SELECT count(*) FROM lost)",
+    "export_gates": "SELECT unnest(['open', 'sure', 'both']) AS dates, unnest([true, false, true]) AS blocked",
+    "csv_round_trip": f"WITH {DIRTY_ORDERS} SELECT row_number() OVER (ORDER BY row_index) - 1 AS row_index, {', '.join(ORDER_COLUMNS)} FROM dirty_orders",
+    "csv_found": "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_index, concat(c_name, chr(10), 'n\u00e9') AS cust, CAST(c_custkey AS VARCHAR) AS key, '\u20ac5,\u00fc' AS price, (SELECT count(*) > 100 FROM customer) AS truncated, ';' AS delimiter FROM customer ORDER BY c_custkey LIMIT 100",
+    "stream_proposals": f"WITH {DIRTY_ORDERS}, {long('dirty_orders', ['priority', 'status'])}, {SHOWN} "
+    + changes("'date_norm'", "row_index", "'us_date'", "us_date", "concat(us_date[7:10], '-', us_date[1:2], '-', us_date[4:5])", "'date:iso'", "1", "dirty_orders")
+    + " UNION ALL "
+    + changes("'text_norm'", "row_index", "col_name", "raw", "surface", "'text:surface'", "1", "shown WHERE surface <> raw")
+    + " UNION ALL "
+    + changes("'coherence_fix'", "row_index", "'status'", "status", "''", "'null:unify'", "1", f"dirty_orders WHERE lower(trim(status)) IN {NULLS}"),
 }
+
+# -- sessions and reports --------------------------------------------------------------------------------------------
+
+ORACLES["session_round_trip"] = f"WITH {CLEANING} SELECT kind, CASE WHEN row_index % 2 = 0 THEN 'rejected' ELSE 'accepted' END AS status, count(*) AS n, true AS cleared FROM led GROUP BY ALL UNION ALL SELECT 'type_cast', 'pending', 2, true"
+ORACLES["report_markdown"] = ORACLES["report_html"] = f"WITH {CLEANING} SELECT col_name, CAST(row_index AS VARCHAR) AS cell_row, kind, status FROM dec"
+ORACLES["report_json"] = f"""WITH p AS ({profile(DIRTY_ORDERS, 'dirty_orders', ORDER_COLUMNS, 'SELECT col_name, dtype, n_distinct FROM prof')}), dec AS MATERIALIZED (WITH {CLEANING} SELECT * FROM dec), done AS (SELECT * FROM dec WHERE status = 'accepted')
+SELECT 'kind' AS section, kind AS name, CAST(count(*) AS VARCHAR) AS value FROM dec GROUP BY kind
+UNION ALL SELECT 'status', status, CAST(count(*) AS VARCHAR) FROM dec GROUP BY status
+UNION ALL SELECT DISTINCT 'rule', rule, '' FROM dec
+UNION ALL SELECT 'warning', unnest(['column price kept as string: numeric locale ambiguous', 'column status has 51% missing-like values']), ''
+UNION ALL SELECT 'applied', kind, CAST(count(*) AS VARCHAR) FROM done GROUP BY kind
+UNION ALL SELECT 'column', p.col_name, concat(dtype, ' ', n_distinct, ' ', (SELECT count(*) FROM done WHERE done.col_name = p.col_name)) FROM p
+UNION ALL SELECT 'change', concat(row_index, ' ', col_name), concat(kind, ' ', new_value, ' ', status) FROM dec
+UNION ALL SELECT 'rows', unnest(['before', 'after']), (SELECT CAST(count(*) AS VARCHAR) FROM orders)
+UNION ALL SELECT 'blocked', 'true', ''"""

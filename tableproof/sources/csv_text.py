@@ -193,4 +193,4 @@ def write_csv(df: DataFrame, path: str, *, blocked: bool = False) -> None:
     """The table as delimited files in row order, with a header; refused while the dates' gate is closed."""
     if blocked:
         raise PermissionError("the export is blocked until the date warnings are resolved")
-    clean_text(df).repartitionByRange(F.col(ROW)).sortWithinPartitions(ROW).drop(ROW).write.mode("errorifexists").option("header", "true").option("emptyValue", "").option("escape", '"').csv(path)
+    clean_text(df).repartitionByRange(F.col(ROW)).sortWithinPartitions(ROW).drop(ROW).write.mode("errorifexists").option("header", "true").options(emptyValue="", escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
