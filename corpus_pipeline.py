@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the rows it keeps with the columns of documents; the last adds taken
 (words the mix takes of the document, repeats counted) and copies (whole ones). run() writes each stage's rows as
-Parquet to the shared folder and reads them again, so a lost executor costs one stage's tasks at most.
+Parquet to the shared folder and reads them again, so a lost executor costs one stage's tasks at most. Of the stages'
+folders only the last one stays.
 """
 
 from __future__ import annotations
@@ -66,4 +67,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:  # what the stage before wrote has been read for the last time
+            _remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
