@@ -11,7 +11,8 @@ Prediction reads every whole text. Forward and backward passes run over a whole
 blocks whose transfer matrices are multiplied side by side, which is exact.
 
 Nulls: a null text, or one without letters, is "und" with score 0. With no labelled documents all texts are "und".
-Repeated rows are each labelled; an empty table gives an empty result.
+Repeated rows and null ids are each labelled (a null id is never held out); an empty table gives an empty result. The
+input's columns come as one struct, so none of their names can clash.
 """
 
 from __future__ import annotations

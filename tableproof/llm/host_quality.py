@@ -5,7 +5,7 @@ counted by host; the counts of all hosts give a beta prior (method of moments),
 towards it, and the host's verdict (trusted, suspect, blocked) goes back to its documents by a join. How many soft
 failures a document may have depends on its host's verdict.
 
-Nulls: a null text has no words; a null host is a host of its own. Repeated rows are each judged; an empty table
+Nulls: a null text has no words; a null host is a host of its own. Repeated rows and null ids are each judged; an empty table
 gives an empty result. Columns of the input other than those named are passed over.
 """
 

@@ -8,7 +8,8 @@ sites carry whole survives once.
 Nulls: a null text has no lines and stays null; rows with a null site count as one site of their own. Blank lines are
 never boilerplate. A line's key is its text lower-cased, trimmed and with runs of white space as one space. A document
 that loses all its words this way is dropped; one that had none stays. Repeated rows are each cleaned; rows that share
-an id share its first-occurrence right.
+an id share its first-occurrence right. A null id is no first document unless all of a line's ids are null. Other
+columns are kept, whatever their names; the count's name is a parameter. An empty table gives an empty result.
 """
 
 from __future__ import annotations

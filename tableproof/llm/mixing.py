@@ -10,8 +10,9 @@ Rates become copies by systematic rounding along the sizes of a source, whose er
 is then missing or too much is given to or cut from single documents in hash order, so a source's taken words meet its
 target to the word. Running totals are taken bucket by bucket: no task holds a source.
 
-Nulls: a null text has size 0, a null source is a source of its own, ordered last. Rows that repeat an id and a text
-share one decision. An empty table gives an empty result.
+Nulls: a null text has size 0, a null source is a source of its own, ordered last, a null id is an id. Rows that repeat
+an id, a source and a text share one decision. An empty table gives an empty result. Other columns are passed over by
+mix() and kept by mixed_documents(), whose added names are a parameter. Sources are ordered in one task, a row each.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ That is exact for all members of an anchor, expands no group into all pairs, and
 Sets are confirmed as sets of 64-bit shingle hashes.
 
 Nulls: a null text is empty; empty texts have no shingles and link with nothing. A null id gets no component and is
-kept. Rows that share an id count as linked. An empty table gives an empty result.
+kept. Rows that share an id count as linked. An empty table gives an empty result. Other columns are passed over by
+near_duplicates() and kept by one_of_each(), whatever their names.
 """
 
 from __future__ import annotations
