@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import html
 import json
+from string import Formatter
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableproof.operators.apply import Applied
@@ -62,6 +63,53 @@ def in_words(key: str, params: dict[str, str], lang: str = "en") -> str:
         return key
 
 
+def worded(lang: str = "en") -> Column:
+    """in_words() of the columns key and params, as an expression."""
+    said: Column = F.col("key")
+    for key, pattern in WORDS.get(lang, WORDS["en"]).items():
+        pieces = []
+        for fixed, name, shape, _ in Formatter().parse(pattern):
+            pieces.append(F.lit(fixed))
+            if name is not None:
+                value = F.col("params")[name]
+                pieces.append(F.concat(F.bround(value.cast("double") * 100, 0).cast("long").cast("string"), F.lit("%")) if shape == ".0%" else value)
+        said = F.when(F.col("key") == key, F.coalesce(F.concat(*pieces), F.col("key"))).otherwise(said)
+    return said
+
+
+def change_line(form: str) -> Column:
+    """A ledger row as the line that the table of changes shows of it: a JSON object, a Markdown or an HTML row."""
+    digits = F.regexp_replace(F.round("confidence", 4).cast("decimal(9,4)").cast("string"), "0{1,3}$", "")
+    if form == "json":
+        return F.to_json(F.struct("kind", "column", "row_index", "before", "after", "rule", F.round("confidence", 4).alias("confidence"), "status"), {"ignoreNullFields": "false"})
+    dash, text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-")), lambda c: F.coalesce(F.col(c), F.lit(""))
+    shown = [text("status"), text("kind"), dash("column"), dash("row_index"), text("before"), text("after"), text("rule"), digits]
+    if form == "md":
+        return F.concat(F.lit("| "), F.concat_ws(" | ", *[F.regexp_replace(F.replace(c, F.lit("|"), F.lit("\\|")), r"[\r\n]+", " ") for c in shown]), F.lit(" |"))
+
+    def escaped(c: Column) -> Column:
+        for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"), ("\n", "&#10;"), ("\r", "&#13;")):
+            c = F.replace(c, F.lit(sign), F.lit(name))
+        return c
+
+    return F.concat(F.lit('<tr class="'), text("status"), F.lit('">'), *[F.concat(F.lit("<td>"), escaped(c), F.lit("</td>")) for c in shown], F.lit("</tr>"))
+
+
+def write_report(profiles: DataFrame, ledger: DataFrame, warnings: DataFrame, blocked: bool, applied: Applied, folder: str, form: str = "json", lang: str = "en") -> dict[str, Any]:
+    """A report of any size, in a folder: summary (what build_report() gives but for its lists) is returned and written
+    beside changes, warnings and mismatches, each as sorted text files that never come to the driver.
+    """
+    if form not in ("json", "md", "html"):
+        raise ValueError(f"unknown report format: {form}")
+    spark = ledger.sparkSession
+    ledger.orderBy(*report_order()).select(change_line(form)).write.text(f"{folder}/changes")
+    warnings.select(worded(lang).alias("said")).orderBy("said").write.text(f"{folder}/warnings")
+    applied.mismatches.orderBy("row_index", "column").select(F.to_json(F.struct("column", "row_index", "before", "current"))).write.text(f"{folder}/mismatches")
+    found = _bounded(profiles, ledger, blocked, applied)
+    spark.createDataFrame([(as_json(found).replace("\n", " "),)], "line string").coalesce(1).write.text(f"{folder}/summary")
+    return found
+
+
 def report_columns(profiles: DataFrame, ledger: DataFrame) -> DataFrame:
     """column, dtype, confidence, null_like_rate, distinct, flags (sorted, as text), thousands, decimal, changes_accepted."""
     done = accepted(ledger).where(F.col("column").isNotNull()).groupBy("column").agg(F.count(F.lit(1)).alias("n"))
@@ -72,10 +120,19 @@ def report_columns(profiles: DataFrame, ledger: DataFrame) -> DataFrame:
 def build_report(profiles: DataFrame, ledger: DataFrame, warnings: DataFrame, blocked: bool, applied: Applied, lang: str = "en") -> dict[str, Any]:
     """The report of an analysis whose accepted changes were applied; the same for any layout of its tables.
 
-    A report lists every change, so it is made for tables whose changes a person reads; counts are aggregated in Spark
-    and the changes come to the driver one partition after another.
+    This one lists every change, so it is made for tables whose changes a person reads; write_report() writes those of
+    any size.
     """
     text = lambda v: "" if v is None else str(v)
+    names = ("kind", "column", "row_index", "before", "after", "rule", "confidence", "status")
+    changes = [{n: (round(r[n], 4) if n == "confidence" else r[n]) for n in names} for r in ledger.orderBy(*report_order()).select(*names).toLocalIterator()]
+    found = _bounded(profiles, ledger, blocked, applied)
+    found["apply_summary"]["mismatches"] = [[text(v) for v in r] for r in applied.mismatches.orderBy("row_index", "column").collect()]
+    return found | {"warnings": sorted(in_words(r["key"], r["params"] or {}, lang) for r in warnings.collect()), "changes": changes}
+
+
+def _bounded(profiles: DataFrame, ledger: DataFrame, blocked: bool, applied: Applied) -> dict[str, Any]:
+    """What a report says in a row a kind, state, rule or column."""
     columns = [
         {
             "name": r["column"],
@@ -90,23 +147,18 @@ def build_report(profiles: DataFrame, ledger: DataFrame, warnings: DataFrame, bl
         }
         for r in sorted(report_columns(profiles, ledger).collect(), key=lambda r: r["column"])
     ]
-    names = ("kind", "column", "row_index", "before", "after", "rule", "confidence", "status")
-    changes = [{n: (round(r[n], 4) if n == "confidence" else r[n]) for n in names} for r in ledger.orderBy(*report_order()).select(*names).toLocalIterator()]
     return {
         "schema_version": VERSION,
         "blocked_export": bool(blocked),
-        "warnings": sorted(in_words(r["key"], r["params"] or {}, lang) for r in warnings.collect()),
         "counts_by_kind": {r["kind"]: r["n"] for r in counts_by_kind(ledger).collect()},
         "counts_by_status": {r["status"]: r["n"] for r in counts_by_status(ledger).collect()},
         "rules_triggered": sorted(r["rule"] for r in ledger.select("rule").distinct().collect()),
         "columns": columns,
-        "changes": changes,
         "apply_summary": {
             "applied_by_kind": applied.applied_by_kind,
             "rows_before": applied.rows_before,
             "rows_after": applied.rows_after,
             "casts": sorted(applied.casts),
-            "mismatches": [[text(v) for v in r] for r in applied.mismatches.orderBy("row_index", "column").collect()],
         },
     }
 

@@ -638,6 +638,18 @@ def report_html(spark, sf):
     return spark.createDataFrame(_table_rows(rows), "col_name string, cell_row string, kind string, status string")
 
 
+@query
+def report_files(spark, sf):
+    """Lines of a report that is written as files: changes in the report's order, and warnings in words."""
+    where = _folder(spark)
+    df, changes = _cleaning(spark, sf)
+    changes = hold(_decided(changes))
+    notes = spark.createDataFrame([("warn_high_null", {"col": "status", "rate": "0.512"}), ("warn_ambiguous", {"col": "price"}), ("warn_of_ones_own", {})], ledger.WARNINGS)
+    report.write_report(inference.infer(df), changes, notes, False, apply.apply_changes(df, changes, []), where, "md")
+    read = lambda part: spark.read.text(f"{where}/{part}").select(F.lit(part).alias("part"), F.col("value").alias("line"))
+    return read("changes").unionByName(read("warnings"))
+
+
 @query
 def stream_proposals(spark, sf):
     """The row-local rules over a stream of files, written once, under a profile and vote of the columns."""

@@ -277,6 +277,7 @@ ORACLES |= {
 
 ORACLES["session_round_trip"] = f"WITH {CLEANING} SELECT kind, CASE WHEN row_index % 2 = 0 THEN 'rejected' ELSE 'accepted' END AS status, count(*) AS n, true AS cleared FROM led GROUP BY ALL UNION ALL SELECT 'type_cast', 'pending', 2, true"
 ORACLES["report_markdown"] = ORACLES["report_html"] = f"WITH {CLEANING} SELECT col_name, CAST(row_index AS VARCHAR) AS cell_row, kind, status FROM dec"
+ORACLES["report_files"] = f"WITH {CLEANING} SELECT 'changes' AS part, concat('| ', concat_ws(' | ', status, kind, col_name, row_index, old_value, new_value, rule, '1.0'), ' |') AS line FROM dec UNION ALL SELECT 'warnings', unnest(['column price kept as string: numeric locale ambiguous', 'column status has 51% missing-like values', 'warn_of_ones_own'])"
 ORACLES["report_json"] = f"""WITH p AS ({profile(DIRTY_ORDERS, 'dirty_orders', ORDER_COLUMNS, 'SELECT col_name, dtype, n_distinct FROM prof')}), dec AS MATERIALIZED (WITH {CLEANING} SELECT * FROM dec), done AS (SELECT * FROM dec WHERE status = 'accepted')
 SELECT 'kind' AS section, kind AS name, CAST(count(*) AS VARCHAR) AS value FROM dec GROUP BY kind
 UNION ALL SELECT 'status', status, CAST(count(*) AS VARCHAR) FROM dec GROUP BY status

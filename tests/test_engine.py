@@ -285,3 +285,54 @@ def test_stream(spark, tmp_path):
     run.stop()
     got = sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == sorted(r["id"] for r in proposals(df, rows, {"day": "DMY"}).collect()) and len(got) > 40
+
+
+def test_report_in_files_says_the_same(spark, tmp_path):
+    """Change lines of a report in files are those of the report as one text, whatever stands in the cells."""
+    rows = [(0, "a|b <i>"), (1, 'say "hi" & \'bye\''), (2, "N/A"), (3, "  é  ")]
+    df = spark.createDataFrame(rows, "row_index long, word string")
+    found = analyse(df)
+    changes = ledger.set_status(found.ledger, F.col("row_index") > 2, "accepted").withColumn("confidence", F.coalesce(F.col("row_index") / 7, F.lit(0.25)))
+    done = apply.apply_changes(df, changes, found.profile_rows())
+    whole = report.build_report(found.profiles, changes, found.warnings, False, done)
+    for form in ("md", "html", "json"):
+        folder = str(tmp_path / form)
+        summary = report.write_report(found.profiles, changes, found.warnings, False, done, folder, form)
+        lines = [r["value"] for r in spark.read.text(f"{folder}/changes").collect()]
+        if form == "json":
+            assert [json.loads(x) for x in lines] == whole["changes"]
+        else:
+            text = report.export(whole, form)
+            assert lines and all(x in text for x in lines)
+        assert [r["value"] for r in spark.read.text(f"{folder}/warnings").collect()] == whole["warnings"]
+        assert summary["counts_by_kind"] == whole["counts_by_kind"] and "changes" not in summary
+
+
+def test_all_of_a_block_is_compared_without_a_cap(spark):
+    df = spark.createDataFrame([(i, f"part {i % 40} of one" if i < 60 else "part nil") for i in range(62)], "row_index long, name string")
+    few, told = duplicates.find_duplicates(df, ["name"], threshold=100, max_bucket=50)
+    every, silent = duplicates.find_duplicates(df, ["name"], threshold=100, max_bucket=None)
+    assert few.count() == 10 and every.count() == 21
+    assert {r["key"] for r in told.collect()} == {"warn_dup_truncated", "warn_dup_groups"} and {r["key"] for r in silent.collect()} == {"warn_dup_groups"}
+
+
+def test_unknown_column_is_no_override(spark):
+    profiles = inference.infer(spark.createDataFrame([(0, "1")], "row_index long, a string"))
+    with pytest.raises(ValueError):
+        inference.override(profiles, inference.cast_changes(profiles), "b", "int64")
+
+
+def test_csv_splits_keep_the_order(spark, tmp_path):
+    """Rows of many splits and files are numbered in their order, in an encoding that is translated as well."""
+    for k in range(3):
+        (tmp_path / f"{k}.csv").write_bytes(("name;n\n" + "".join(f"é€ “{i}”;{k * 5000 + i}\n" for i in range(5000 - 1000 * k))).encode("cp1252"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        got = csv_text.read_csv(spark, str(tmp_path), encoding="cp1252")
+        assert got.df.rdd.getNumPartitions() > 4 and got.delimiter == ";"
+        rows = got.df.orderBy("row_index").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = [(f"é€ “{i}”", str(k * 5000 + i)) for k in range(3) for i in range(5000 - 1000 * k)]
+    assert [(r["name"], r["n"]) for r in rows] == want and [r["row_index"] for r in rows] == list(range(len(want)))
