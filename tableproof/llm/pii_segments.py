@@ -233,6 +233,10 @@ def span_features(text: str, a: int, b: int) -> tuple[str, ...]:
     ]
     if before in (".", "-", "/", ",") or after in ("/", "-"):
         out.append("joined")
+    if not re.search("[A-Za-z@]", piece):  # part of a longer number, or one of a list
+        more = bool(re.search(r"[+0-9][\x20().\-–/]{0,3}$", text[max(0, a - 4) : a])), bool(re.match(r"[\x20().\-–/]{0,3}[0-9]", text[b : b + 4]))
+        out.append(f"more:{more[0]}:{more[1]}")
+        out.append(f"shape:{shape}:{more[0]}:{more[1]}")
     if (after == "." and text[b + 1 : b + 2].isalnum()) or (before == "." and text[a - 2 : a - 1].isalnum()):
         out.append("dotted")
     if 12 <= len(digits) <= 19:
@@ -402,11 +406,11 @@ def fit(texts: list[str], spec: PiiSpec = PiiSpec()) -> SegmentField:
                 s[kind] += g * g
                 w[kind] += 0.5 * g / math.sqrt(s[kind])
             want, got = gold_moves(region, goal), expected_moves(region, _scores(region, weights), moves)
-            for p in range(OTHER + 1):
-                for q in range(OTHER + 1):
-                    g = want[p][q] - got[p][q]
-                    seen_moves[p][q] += g * g
-                    moves[p][q] += 0.1 * g / math.sqrt(seen_moves[p][q])
+            # between two other tokens nothing is added: it would count against long segments, token by token
+            for p, q in ((p, q) for p in range(OTHER + 1) for q in range(OTHER + 1) if (p, q) != (OTHER, OTHER)):
+                g = want[p][q] - got[p][q]
+                seen_moves[p][q] += g * g
+                moves[p][q] += 0.1 * g / math.sqrt(seen_moves[p][q])
     return SegmentField(weights, moves)
 
 
@@ -420,10 +424,12 @@ def _examples(texts: list[str], spec: PiiSpec, rng: random.Random) -> list[tuple
     for text in texts:
         spans = base_spans(text)
         for start, kind, end in spans:
-            found.append((text[max(0, start - 40) : start], text[start:end], kind, text[end : end + 40]))
+            lo, hi = _around(start, end, spans)
+            found.append((text[lo:start], text[start:end], kind, text[end:hi]))
         for m in NUMBERS.finditer(text):
             if m.end() - m.start() >= 7 and not any(s < m.end() and m.start() < e for s, _, e in spans):
-                plain.append(text[max(0, m.start() - 40) : m.end() + 40])
+                lo, hi = _around(m.start(), m.end(), spans)
+                plain.append(text[lo:hi])
     rng.shuffle(found)
     rng.shuffle(plain)
     out = []
@@ -444,6 +450,17 @@ def _examples(texts: list[str], spec: PiiSpec, rng: random.Random) -> list[tuple
     return out
 
 
+def _around(start: int, end: int, spans: list[Span], reach: int = 40) -> tuple[int, int]:
+    """The stretch around a span, without pieces of others: what is left of a cut number would count as none."""
+    lo, hi = max(0, start - reach), end + reach
+    for s, _, e in spans:
+        if s < lo < e <= start:
+            lo = e
+        if end <= s < hi < e:
+            hi = s
+    return lo, hi
+
+
 def _gold(text: str) -> set[tuple[int, int, int]]:
     return {(kind, a, b) for a, kind, b in base_spans(text)}
 

@@ -262,6 +262,18 @@ def test_pii_held_out(pii_field):
     assert right >= 0.95 * gold_count and right >= 0.97 * found
 
 
+def test_pii_examples_hold_no_pieces():
+    """A number cut at the edge of a training example would count as none."""
+    text = "see +1 (608) 555-2280 or 2001:12, then +1 (667) 555-9532 and +1 (884) 555-3918 again"
+    spans = pii_segments.base_spans(text)
+    assert len(spans) == 3
+    start = text.index("2001")
+    lo, hi = pii_segments._around(start, start + 7, spans, reach=20)
+    assert text[lo:hi] == " or 2001:12, then "
+    lo, hi = pii_segments._around(spans[1][0], spans[1][2], spans, reach=12)
+    assert text[lo:hi] == "01:12, then +1 (667) 555-9532 and "
+
+
 def test_pii_long_lists(pii_field):
     rng, spec = random.Random(5), pii_segments.PiiSpec()
     numbers = [f"({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}" for _ in range(1_500)]
