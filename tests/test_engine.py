@@ -308,6 +308,15 @@ def test_report_in_files_says_the_same(spark, tmp_path):
         assert summary["counts_by_kind"] == whole["counts_by_kind"] and "changes" not in summary
 
 
+def test_flags_of_sampled_columns(spark):
+    """A table of columns has flags as inference gives them, the report has them sorted."""
+    df = frame(spark, word=["a", "b"] * 4)
+    profiles, none = inference.infer(df, max_sample=4), ledger.empty(spark)
+    assert report.report_columns(profiles, none).first()["flags"] == "sampled,low_cardinality"
+    made = report.build_report(profiles, none, spark.createDataFrame([], ledger.WARNINGS), False, apply.apply_changes(df, none, []))
+    assert made["columns"][0]["flags"] == ["low_cardinality", "sampled"]
+
+
 def test_all_of_a_block_is_compared_without_a_cap(spark):
     df = spark.createDataFrame([(i, f"part {i % 40} of one" if i < 60 else "part nil") for i in range(62)], "row_index long, name string")
     few, told = duplicates.find_duplicates(df, ["name"], threshold=100, max_bucket=50)
