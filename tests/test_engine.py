@@ -1,6 +1,7 @@
 """The engine on small tables: every branch of inference, detectors, ledger, apply, reports, files and sessions."""
 
 import json
+import pathlib
 from datetime import date, datetime
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tableproof.operators import apply, coherence, dates, duplicates, inference, ledger, report, texts
 from tableproof.plans.analysis import Options, analyse
 from tableproof.plans.cells import first_rows
+from tableproof.plans.held import hold
 from tableproof.plans.rows import number_rows, preview, renumber
 from tableproof.sources import csv_text, session
 
@@ -308,6 +310,32 @@ def test_report_in_files_says_the_same(spark, tmp_path):
         assert summary["counts_by_kind"] == whole["counts_by_kind"] and "changes" not in summary
 
 
+@pytest.mark.parametrize("form", ["html"])
+def test_document_of_any_size_is_the_report(spark, tmp_path, monkeypatch, form):
+    """A document in files is the one that export() makes, lists and all; none of its lists comes to the driver."""
+    rows = [(i, ("a|b <i>", 'say "hi" & \'bye\'', "N/A", "  é  ", f" w{i}  x\\")[i % 5]) for i in range(300)]
+    df = spark.createDataFrame(rows, "row_index long, word string")
+    found = analyse(df)
+    changes = ledger.set_status(found.ledger, F.col("row_index") % 2 == 0, "accepted").withColumn("before", F.when(F.col("row_index") % 3 == 0, "it's").otherwise(F.col("before")))
+    # held in order and filtered: its first partitions are empty
+    kept = hold(hold(changes.repartitionByRange(8, *ledger.report_order()).sortWithinPartitions(*ledger.report_order())).where(F.col("row_index") >= 90))
+    notes = found.warnings.unionByName(spark.createDataFrame([("warn_ambiguous", {"col": f"c{i} 'é' <&>"}) for i in range(20)], ledger.WARNINGS))
+    for at, (led, said) in {"all": (kept, notes), "none": (ledger.empty(spark), notes.limit(0))}.items():
+        done = apply.apply_changes(df, led, found.profile_rows())
+        want = report.build_report(found.profiles, led, said, False, done)
+        assert len(want["changes"]) > 50 and len(want["warnings"]) >= 20 and len(want["apply_summary"]["mismatches"]) > 10 or at == "none"
+        with monkeypatch.context() as m:
+            m.delattr(report, "build_report")
+            places = report.write_document(found.profiles, led, said, False, done, str(tmp_path / at), form)
+        lines = "".join(part.read_text() for place in sorted(places) for part in sorted(pathlib.Path(place).glob("part-*")))
+        if form == "json":
+            assert json.loads(lines) == want
+        else:
+            assert lines == report.export(want, form) if form == "md" else lines.replace("\n", "") == report.export(want, form)
+    with pytest.raises(ValueError):
+        report.write_document(found.profiles, kept, notes, False, done, str(tmp_path / "no"), "pdf")
+
+
 def test_flags_of_sampled_columns(spark):
     """A table of columns has flags as inference gives them, the report has them sorted."""
     df = frame(spark, word=["a", "b"] * 4)
