@@ -310,7 +310,7 @@ def test_report_in_files_says_the_same(spark, tmp_path):
         assert summary["counts_by_kind"] == whole["counts_by_kind"] and "changes" not in summary
 
 
-@pytest.mark.parametrize("form", ["html", "md"])
+@pytest.mark.parametrize("form", ["html", "md", "json"])
 def test_document_of_any_size_is_the_report(spark, tmp_path, monkeypatch, form):
     """A document in files is the one that export() makes, lists and all; none of its lists comes to the driver."""
     rows = [(i, ("a|b <i>", 'say "hi" & \'bye\'', "N/A", "  é  ", f" w{i}  x\\")[i % 5]) for i in range(300)]
